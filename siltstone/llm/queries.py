@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, decontaminate, language_id, license_scan, simhash
+from siltstone.llm import bpe, decontaminate, language_id, license_scan, line_dedup, simhash
 from siltstone.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_components": op2_simhash_components,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op5_license_scan": op5_license_scan,
+    "op6_line_runs": op6_line_runs,
     "op10_decontamination": op10_decontamination,
 }
 
