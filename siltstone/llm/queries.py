@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, decontaminate, language_id, license_scan, line_dedup, simhash
+from siltstone.llm import bpe, decontaminate, language_id, license_scan, line_dedup, simhash, token_store, warc
 from siltstone.llm.common import table
 
 
@@ -32,6 +32,14 @@ def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))[1]
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op5_license_scan": op5_license_scan,
     "op6_line_runs": op6_line_runs,
+    "op7_token_store": op7_token_store,
+    "op8_warc_archive": op8_warc_archive,
     "op10_decontamination": op10_decontamination,
 }
 
