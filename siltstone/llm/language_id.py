@@ -226,3 +226,17 @@ def detect_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], id_co
             yield pa.RecordBatch.from_pydict(columns | {c: part.column(c) for c in keep})
 
     return frame.mapInArrow(run, schema)
+
+
+#: A document of which no language holds so large a share of the words is rejected.
+MIN_SHARE = 0.3
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_share: float = MIN_SHARE) -> DataFrame:
+    """``docs`` without the rows whose language is undetermined or spread too thin; all columns stay."""
+    place = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in place.items()))
+    model = fit(named, place[id_col], place[text_col], place[lang_col])
+    found = detect_languages(named, model, place[id_col], place[text_col], keep=named.columns)
+    kept = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_share))
+    return kept.select(*(F.col(n).alias(c) for c, n in place.items()))
