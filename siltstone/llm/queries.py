@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, decontaminate, language_id, license_scan, line_dedup, simhash, token_store, warc
-from siltstone.llm.common import table
+from siltstone.llm import ann, bpe, decontaminate, language_id, license_scan, line_dedup, simhash, token_store, transcripts, warc
+from siltstone.llm.common import Scratch, table
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=50)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,11 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))[1]
 
 
+def op9_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = Scratch(spark, "transcripts").save(transcripts.write_transcripts(table(spark, sf_dir, "conversations")), "written")
+    return transcripts.parse_transcripts(written, transcripts.fit(written))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,10 +57,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_mixture": op1_language_mixture,
     "op2_simhash_components": op2_simhash_components,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op4_nearest_vectors": op4_nearest_vectors,
     "op5_license_scan": op5_license_scan,
     "op6_line_runs": op6_line_runs,
     "op7_token_store": op7_token_store,
     "op8_warc_archive": op8_warc_archive,
+    "op9_transcript_roles": op9_transcript_roles,
     "op10_decontamination": op10_decontamination,
 }
 
