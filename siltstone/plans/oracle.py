@@ -10,8 +10,8 @@ SCORES = f"{FILES}, scores AS (SELECT level, CASE WHEN level = 0 THEN count(*) /
 PICK = f"{SCORES}, job AS (SELECT level, level + 1 AS target_level, score FROM scores WHERE score >= 1 AND level < 3 ORDER BY score DESC, level DESC LIMIT 1)"
 BLOCKS = f"{RUNS}, blocks AS (SELECT *, (dense_rank() OVER (PARTITION BY file_id ORDER BY key) - 1) // 16 AS block FROM runs)"
 SPOT = "((('0x' || substr(md5(key::VARCHAR), 1, 8))::UBIGINT::BIGINT + i * ('0x' || substr(md5(key::VARCHAR), 9, 8))::UBIGINT::BIGINT) % 1024)"
-BIT = "CASE WHEN at % 64 = 63 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (at % 64)::INT END"
-BLOOM = f"{RUNS}, spots AS (SELECT DISTINCT file_id, {SPOT} AS at FROM (SELECT DISTINCT file_id, key FROM runs), range(7) t(i)), bloom AS (SELECT file_id, at // 64 AS word, bit_or({BIT}) AS bits FROM spots GROUP BY ALL)"
+BIT = "CASE WHEN spot % 64 = 63 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (spot % 64)::INT END"
+BLOOM = f"{RUNS}, spots AS (SELECT DISTINCT file_id, {SPOT} AS spot FROM (SELECT DISTINCT file_id, key FROM runs), range(7) t(i)), bloom AS (SELECT file_id, spot // 64 AS word, bit_or({BIT}) AS bits FROM spots GROUP BY ALL)"
 WAL = f"""{KV}, wal AS (
   SELECT (seq - 1) // 2000 AS segment, 3 * seq + 1 AS pos, op AS rtype, key, value, seq FROM kv
   UNION ALL SELECT (seq - 1) // 2000, 3 * seq, 'BATCH_START', NULL, NULL, seq FROM kv WHERE seq % 200 = 1
@@ -87,7 +87,7 @@ ORACLE_SQL: dict[str, str] = {
     "kv_files_for_key": f"WITH {FILES} SELECT file_id FROM files WHERE min_key <= 8 AND max_key >= 8",
     "kv_overlapping_files": f"WITH {FILES} SELECT file_id FROM files WHERE max_key >= 20 AND min_key <= 60",
     "kv_bloom_build": f"WITH {BLOOM} SELECT file_id, word, bits FROM bloom",
-    "kv_bloom_probe": f"WITH {RUNS}, held AS (SELECT DISTINCT {SPOT} AS at FROM (SELECT DISTINCT key FROM runs WHERE run_id = 0), range(7) t(i)) SELECT key, bool_and({SPOT} IN (SELECT at FROM held)) AS maybe, key IN (SELECT key FROM runs WHERE run_id = 0) AS present FROM range(400) k(key), range(7) t(i) GROUP BY key",
+    "kv_bloom_probe": f"WITH {RUNS}, held AS (SELECT DISTINCT {SPOT} AS spot FROM (SELECT DISTINCT key FROM runs WHERE run_id = 0), range(7) t(i)) SELECT key, bool_and({SPOT} IN (SELECT spot FROM held)) AS maybe, key IN (SELECT key FROM runs WHERE run_id = 0) AS present FROM range(400) k(key), range(7) t(i) GROUP BY key",
     "kv_bloom_fpr": f"WITH {RUNS} SELECT file_id, count(DISTINCT key) AS n, round(power(1 - exp(-7.0 * count(DISTINCT key) / 1024.0), 7), 9) AS fpr FROM runs GROUP BY file_id",
     "kv_sparse_index": f"WITH {BLOCKS} SELECT file_id, block, min(key) AS first_key, count(DISTINCT key) AS n FROM blocks GROUP BY file_id, block",
     "kv_sparse_index_lookup": f"WITH {BLOCKS}, idx AS (SELECT block, min(key) AS first_key FROM blocks WHERE run_id = 0 GROUP BY block) SELECT k.key, coalesce((SELECT max(block) FROM idx WHERE first_key <= k.key), 0) AS block FROM range(-5, 400) k(key)",
