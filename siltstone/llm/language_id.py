@@ -156,7 +156,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     into += np.bincount(grams(piece)[0], minlength=BUCKETS)
         for lang, n in seen.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": at, "n": n[at]})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": at, "n": n[at]})
 
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros((BUCKETS, len(langs)))
