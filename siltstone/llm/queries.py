@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import ann, bpe, decontaminate, language_id, license_scan, line_dedup, simhash, token_store, transcripts, warc
 from siltstone.llm.common import Scratch, table
+from siltstone.llm.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +68,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_transcript_roles": op9_transcript_roles,
     "op10_decontamination": op10_decontamination,
 }
-
-ORACLE_SQL: dict[str, str] = {}

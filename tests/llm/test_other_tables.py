@@ -139,3 +139,15 @@ def test_pipeline_matches_its_stages(spark):
 def test_every_operator_is_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql().keys() & {"op8_warc_archive", "op10_decontamination"}))
+def test_sql_equivalents(spark, name):
+    import duckdb
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    got, want = entry.queries()[name](spark, folder), con.execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
