@@ -126,14 +126,17 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
 
 
 def _dedup(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """All columns of ``docs`` under the names __c0, __c1, ..., with lines, runs and kept lines."""
+    """All columns of ``docs`` under the names __c0, __c1, ..., with lines, runs and kept lines.
+
+    The join shuffles the texts whatever the number of runs, so the plan is the same at every size.
+    """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     place = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     docs = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in place.items()))
     runs = repeated_runs(docs, scratch, place[id_col], place[text_col], **options)
     lines = F.split(F.col(place[text_col]), "\n", -1)
     kept = F.filter("lines", lambda _, i: ~F.exists("runs", lambda r: (i >= r["first"]) & (i < r["end"])))
-    joined = docs.select("*", *document_key(place[id_col], place[text_col])).join(runs, KEY, "left").withColumn("lines", lines)
+    joined = docs.select("*", *document_key(place[id_col], place[text_col])).join(runs.hint("merge"), KEY, "left").withColumn("lines", lines)
     return joined.withColumn("kept", F.when(F.col("runs").isNull(), F.col("lines")).otherwise(kept))
 
 
