@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Characters of text that a worker turns into arrays at a time.
 BLOCK_CHARS = 1 << 20
@@ -33,13 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_roots: set[str] = set()
+
+
 class Scratch:
-    """Written tables that cut lineage. ``drop`` removes those that nothing reads any more."""
+    """Written tables that cut lineage. ``drop`` removes those that nothing reads any more.
+
+    Results read some of them lazily; ``clear_scratch`` removes what is left once results are stored.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        _roots.add(self.root)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -54,10 +60,19 @@ class Scratch:
         return out
 
     def drop(self, *saved: DataFrame | str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for one in saved:
-            place = jvm.org.apache.hadoop.fs.Path(one if isinstance(one, str) else one.scratch_path)
-            place.getFileSystem(conf).delete(place, True)
+            _remove(self.spark, one if isinstance(one, str) else one.scratch_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables and archives of this process; results that were not stored can no longer be read."""
+    while _roots:
+        _remove(spark, _roots.pop())
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -72,8 +87,3 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLO
                 start, size = i + 1, 0
         if start < batch.num_rows:
             yield (part := batch.slice(start)), part.column(column).to_pylist()
-
-
-def row_key(id_col: str, text_col: str) -> list:
-    """Columns that tell rows apart even where ids are null or repeated; equal rows share a key."""
-    return [F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key")]

@@ -151,3 +151,13 @@ def test_sql_equivalents(spark, name):
     got, want = entry.queries()[name](spark, folder), con.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in want.description]
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_scratch_is_cleared(spark):
+    from siltstone.llm.common import clear_scratch
+
+    saved = Scratch(spark, "t").save(spark.range(3), "numbers")
+    assert saved.count() == 3
+    clear_scratch(spark)
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        saved.count()
