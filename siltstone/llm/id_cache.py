@@ -1,41 +1,35 @@
-"""Token ids of strings seen before, packed: a worker's memory of bounded size."""
+"""Token ids of words seen before, packed: a worker's memory of bounded size."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 
 
 class IdCache:
-    """Ids of up to about ``limit`` strings; when it is full, those not used since the last time go.
+    """Packed ids of up to about ``limit`` words; when it is full, those not used since the last time go.
 
-    encode: the ids of each of a list of new strings.
+    encode: packed ids (unsigned 32-bit) of each of a list of new words.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int):
         self.encode, self.limit = encode, limit
         self.old: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
 
+    def fill(self, words: list[str]) -> dict[str, bytes]:
+        """The dictionary that now holds all of ``words``."""
+        if len(self.new) > self.limit // 2:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        if missing := set(words).difference(new):
+            known = {w: ids for w in missing if (ids := old.get(w)) is not None}
+            new.update(known)
+            if rest := [w for w in missing if w not in known]:
+                new.update(zip(rest, self.encode(rest), strict=True))
+        return new
+
     def ids(self, words: list[str]) -> np.ndarray:
-        """All ids of ``words``, unsigned 32-bit, one string after another."""
-        new = self.new
-        try:
-            return np.frombuffer(b"".join(map(new.__getitem__, words)), np.uint32)
-        except KeyError:
-            pass
-        old, missing = self.old, []
-        for w in dict.fromkeys(words):
-            if w not in new:
-                if (known := old.get(w)) is None:
-                    missing.append(w)
-                else:
-                    new[w] = known
-        if missing:
-            found = [np.array(x, np.uint32).tobytes() for x in self.encode(missing)]
-            new.update(zip(missing, found, strict=True))
-        out = np.frombuffer(b"".join(map(new.__getitem__, words)), np.uint32)
-        if len(new) > self.limit // 2:
-            self.old, self.new = new, {}
-        return out
+        """All ids of ``words``, one word after another."""
+        return np.frombuffer(b"".join(map(self.fill(words).__getitem__, words)), np.uint32)

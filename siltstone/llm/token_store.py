@@ -68,11 +68,18 @@ def chunk_digest(chunk: bytes) -> bytes:
     return blake2b(chunk, digest_size=DIGEST_BYTES).digest()
 
 
+#: Words that the library encodes as one string.
+JOINED = 64
+
+
 class WordEncoder:
     """The tokenizers library with a memory of words.
 
     Spaces and line breaks separate pre-tokens in the library too and no id spans them, so a
-    text's ids are its words' ids one after another.
+    text's ids are its words' ids one after another. A full stop or comma behind a letter is a
+    pre-token of its own, and the library lower-cases, so words that differ in these alone are
+    encoded once. Words of letters are encoded many in one string and told apart by the
+    vocabulary's word ends; if their number is not that of the words, each is encoded alone.
     """
 
     def __init__(self, path: str):
@@ -81,11 +88,44 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache = IdCache(lambda words: [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if len(vocabulary) <= 1 << 16 else 4
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tails = dict(zip(".,", self._alone([".", ","]), strict=True))
+        self.stems = IdCache(self._encode, 400_000)
+        self.words = IdCache(self._compose, 700_000)
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        plain = [w for w in words if w.isalpha()]
+        found = {}
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False) if groups else (), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = (np.flatnonzero(self.word_end[ids]) + 1) * 4
+            if len(ends) == len(group):
+                raw, ends = ids.tobytes(), ends.tolist()
+                found.update(zip(group, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self._alone(rest) if rest else (), strict=True))
+        return [found[w] for w in words]
+
+    def _compose(self, words: list[str]) -> list[bytes]:
+        split = []
+        for w in words:
+            stem = w.lower() if w.isascii() else w
+            if stem[-1:] in (".", ",") and "a" <= stem[-2:-1] <= "z":
+                split.append((stem[:-1], stem[-1]))
+            else:
+                split.append((stem, ""))
+        stems = self.stems.fill([stem for stem, _ in split])
+        return [stems[stem] + self.tails[tail] if tail else stems[stem] for stem, tail in split]
 
     def ids(self, text: str) -> np.ndarray:
-        return self.cache.ids(text.replace("\n", " ").split(" "))
+        return self.words.ids(text.replace("\n", " ").split(" "))
 
 
 @lru_cache(2)
