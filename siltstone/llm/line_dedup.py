@@ -114,6 +114,8 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     found = wanted.join(ranks, ["g", "level"]).withColumn("tail", F.expr("g + n - shiftleft(1, level)")).join(tail, ["tail", "level"])
     found = scratch.save(found.select("begin", "g", "n", "r", "r2"), "found")
     first = found.groupBy("n", "r", "r2").agg(F.min("g").alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    # as a written table both sides of the next join are shuffled for it, and a run with very many copies is split
+    first = scratch.save(first, "first")
     # where a copy overlaps the first occurrence, that one stays whole
     copies = found.join(first, ["n", "r", "r2"]).filter("g > first").select("begin", F.expr("greatest(g, first + n) - begin").alias("from"), F.expr("g + n - begin").alias("end"))
     gone = copies.select("begin", F.explode(F.expr("sequence(`from`, end - 1)")).alias("no")).distinct()
@@ -121,7 +123,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     runs = islands.groupBy("begin", "island").agg(F.min("no").alias("first"), (F.max("no") + 1).alias("end"))
     runs = runs.groupBy("begin").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("runs"))
     out = scratch.save(runs.join(begins, "begin").select(*KEY, "runs"), "runs")
-    scratch.drop(names, known, units, found, *levels[1:])
+    scratch.drop(names, known, units, found, first, *levels[1:])
     return out
 
 
