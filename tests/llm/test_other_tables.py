@@ -39,6 +39,20 @@ def test_recall_against_brute_force(spark):
         assert abs(r.score - e[r.query_id] @ e[r.vec_id] / np.linalg.norm(e[r.query_id]) / np.linalg.norm(e[r.vec_id])) < 1e-12
 
 
+@pytest.mark.parametrize("noise", [0.01, 0.001])
+def test_recall_among_near_copies(spark, noise):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(1, 64))
+    e = np.concatenate([rng.normal(size=(1000, 64)), centre + noise * rng.normal(size=(500, 64))])
+    ids = rng.permutation(len(e))
+    rows = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, e, strict=True)], "vec_id bigint, embedding array<double>")
+    found, want = ann.nearest(rows, 10).collect(), nearest(ids, e, 10)
+    close = {int(i) for i in ids[1000:]}
+    among = [r for r in found if r.query_id in close]
+    assert len(among) == 5 * len(close & want.keys()) > 150
+    assert sum(r.vec_id in want[r.query_id] for r in among) / len(among) >= 0.95
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     good = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 2.0]), (100, [1.0, 1.0])]
