@@ -78,7 +78,8 @@ class WordEncoder:
     Spaces and line breaks separate pre-tokens in the library too and no id spans them, so a
     text's ids are its words' ids one after another. A full stop or comma behind a letter is a
     pre-token of its own, and the library lower-cases, so words that differ in these alone are
-    encoded once. Words of letters are encoded many in one string and told apart by the
+    encoded once. Special tokens in a text have their own ids, as in the library's plain call; it
+    looks for them before it lower-cases, so words with "<|" stay as they are. Words of letters are encoded many in one string and told apart by the
     vocabulary's word ends; if their number is not that of the words, each is encoded alone.
     """
 
@@ -87,7 +88,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.tokenizer.get_vocab()
         self.width = 2 if len(vocabulary) <= 1 << 16 else 4
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -116,7 +116,7 @@ class WordEncoder:
     def _compose(self, words: list[str]) -> list[bytes]:
         split = []
         for w in words:
-            stem = w.lower() if w.isascii() else w
+            stem = w.lower() if w.isascii() and "<|" not in w else w
             if stem[-1:] in (".", ",") and "a" <= stem[-2:-1] <= "z":
                 split.append((stem[:-1], stem[-1]))
             else:

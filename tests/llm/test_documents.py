@@ -324,6 +324,12 @@ def test_store_of_awkward_rows(spark, docs):
     assert token_store.token_report(docs.limit(0), WORDS).count() == 0
 
 
+def test_special_tokens_in_texts_are_those_of_the_library():
+    library, words = Tokenizer.from_file(WORDS), token_store.encoder(WORDS)
+    for text in ("abc <|endoftext|> def", "<|ENDOFTEXT|> A", "X<|startoftext|>Y.\nÉ<|endoftext|>", "<|endoftext|>.", "<|EndOfText|>a, <|endoftext|><|endoftext|>", "<| endoftext |> A<|B.", "a<|"):
+        assert words.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_chunks_recur_and_damage_is_seen(spark):
     ids = np.random.default_rng(0).integers(0, 40000, 20000).astype(np.uint32)
     ends = token_store.chunk_ends(ids)
