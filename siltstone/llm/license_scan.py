@@ -38,7 +38,8 @@ PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib"
 TAG_LABELS = {"apache-2.0": "apache-2", "gpl-3.0": "gpl-3", "gpl-2.0": "gpl-2"}
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_TAG = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]{1,1000})", re.I)
+_TAG = re.compile(r"spdx-license-identifier[ \t]*:", re.I)
+_LINE_END = re.compile(r"[\r\n]")
 _PART = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -62,7 +63,8 @@ def to_postfix(expression: str) -> list[str]:
     Text after a complete expression (a comment's end, prose) is left out.
     """
     out, held, want_operand, depth = [], [], True, 0
-    for part in _PART.findall(expression):
+    for found in _PART.finditer(expression):
+        part = found[0]
         word = part.lower()
         if part == "(":
             if not want_operand:
@@ -111,6 +113,14 @@ def evaluate(postfix: list[str], allowed: set[str] = PERMISSIVE) -> tuple[bool,
     return held, list(dict.fromkeys([*names, *([last] if last else [])]))
 
 
+def tag_values(text: str) -> Iterator[str]:
+    """What stands behind each tag, up to the line's end or the next tag."""
+    tags = list(_TAG.finditer(text))
+    for tag, after in zip(tags, [*(t.start() for t in tags[1:]), len(text)], strict=True):
+        line = _LINE_END.search(text, tag.end(), after)
+        yield text[tag.end() : line.start() if line else after]
+
+
 @lru_cache(1)
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -142,7 +152,7 @@ def scan(text: str | None) -> tuple:
             labels.add(label)
             weight += 2 if is_base else 1
     expressions, permissive = [], None
-    for raw in _TAG.findall(text) if tagged else ():
+    for raw in tag_values(text) if tagged else ():
         try:
             postfix = to_postfix(raw)
         except ValueError:

@@ -219,6 +219,17 @@ def test_licence_expressions():
     assert row[1] == 2 and row[4] == "mit" and row[5] == "apache-2,gpl-3,mit,proprietary" and row[8] is True
 
 
+def test_tags_on_long_lines():
+    two = "/* SPDX-License-Identifier: MIT */ x=1; /* SPDX-License-Identifier: GPL-3.0-only */ y"
+    row = license_scan.scan(two)
+    assert (row[5], row[7], row[8]) == ("gpl-3,mit", "mit; gpl-3.0-only", False)
+    names = [f"LicenseRef-{i:04d}" for i in range(300)]
+    row = license_scan.scan("SPDX-License-Identifier: " + " OR ".join([*names, "MIT"]) + "\nMIT")
+    assert row[5].split(",") == [*(n.lower() for n in names), "mit"] and row[8] is True
+    row = license_scan.scan("spdx-license-identifier:\nSPDX-License-Identifier: (" + " " * 2000 + "MIT)")
+    assert (row[7], row[8]) == ("mit", True)
+
+
 # -- line dedup -----------------------------------------------------------------------------------
 
 
