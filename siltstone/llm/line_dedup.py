@@ -12,8 +12,6 @@ from siltstone.llm.common import Scratch
 
 #: A repeated run of lines counts from so many words on.
 MIN_WORDS = 50
-#: ... of which some MAX_LINES consecutive lines, empty ones included, must hold MIN_WORDS.
-MAX_LINES = 64
 
 KEY = ["rid", "text_key", "text_key2"]
 
@@ -64,14 +62,29 @@ def prefix_ranks(positions: DataFrame, longest: int, scratch: Scratch) -> list[D
     return levels
 
 
-def _unit(words: Column, min_words: int) -> Column:
-    """How many of the first entries of ``words`` it takes to reach min_words; null if all do not."""
-    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
-    step = lambda a, w: F.when(a["sum"] < min_words, F.struct((a["sum"] + w).alias("sum"), (a["n"] + 1).alias("n"))).otherwise(a)
-    return F.aggregate(words, start, step, lambda a: F.when(a["sum"] >= min_words, a["n"]))
+def shortest_units(units: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(begin, g, n) twice: the shortest n lines with min_words words that start at g, and those that end where
+    some line does (g is their first).
+
+    units: (begin, stretch, g, words, upto), upto being the words of the stretch up to and with g. As these
+    grow along a stretch, a unit's other end is looked up in their order, however far away it is.
+    """
+    before = F.col("upto") - F.col("words")
+    none = F.lit(None).cast("bigint")
+
+    def looked_up(known: Column, wanted: Column, order: Column, best) -> DataFrame:
+        pairs = F.array(F.struct(known.alias("at"), F.col("g").alias("place"), none.alias("asks")), F.struct(wanted.alias("at"), none.alias("place"), F.col("g").alias("asks")))
+        rows = units.select("begin", "stretch", F.inline(pairs))
+        # of equal values places come before those that ask for them
+        passed = Window.partitionBy("begin", "stretch").orderBy(order, F.col("place").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("end", best("place").over(passed)).filter("asks IS NOT NULL AND end IS NOT NULL")
+
+    fore = looked_up(F.col("upto"), before + min_words, F.desc("at"), F.min)
+    back = looked_up(before, F.col("upto") - min_words, F.asc("at"), F.max)
+    return fore.select("begin", F.col("asks").alias("g"), F.expr("end - asks + 1").alias("n")), back.select("begin", F.col("end").alias("g"), F.expr("asks - end + 1").alias("n"))
 
 
-def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, max_lines: int = MAX_LINES) -> DataFrame:
+def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(*KEY, runs): for documents with later copies of line runs, the stretches of lines [first, end) to delete.
 
     All lines of all documents, in the order of their ids, form one sequence of line IDs. A run
@@ -96,34 +109,35 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     in_doc = Window.partitionBy("begin").orderBy("g")
     stretch = Window.partitionBy("begin", "stretch").orderBy("g")
     whole = Window.partitionBy("begin", "stretch")
-    ahead = F.collect_list("words").over(stretch.rowsBetween(0, max_lines - 1))
-    behind = F.reverse(F.collect_list("words").over(stretch.rowsBetween(1 - max_lines, 0)))
-    units = placed.withColumn("stretch", F.col("g") - F.row_number().over(in_doc)).select("g", "begin", "r", (F.max("g").over(whole) - F.col("g") + 1).alias("left"), _unit(ahead, min_words).alias("fore"), _unit(behind, min_words).alias("back"))
-    units = scratch.save(units, "units")
-    longest = units.agg(F.coalesce(F.max(F.greatest("fore", "back")), F.lit(0))).first()[0]
+    units = placed.withColumn("stretch", F.col("g") - F.row_number().over(in_doc))
+    units = units.select("g", "begin", "stretch", "r", F.col("words").cast("bigint").alias("words"), (F.max("g").over(whole) - F.col("g") + 1).alias("left"), F.sum("words").over(stretch.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("words").over(whole).alias("total"))
+    units = scratch.save(units.filter(F.col("total") >= min_words).drop("total"), "units")
+    fore, back = shortest_units(units, min_words)
+    wanted = scratch.save(fore.unionByName(back).distinct(), "wanted")
+    longest = wanted.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     levels = prefix_ranks(units.select("g", "r", "left"), longest, scratch)
 
-    fore = units.filter("fore IS NOT NULL").select("begin", "g", F.col("fore").alias("n"))
-    back = units.filter("back IS NOT NULL").select("begin", (F.col("g") - F.col("back") + 1).alias("g"), F.col("back").alias("n"))
     level = sum([F.when(F.col("n") >= 1 << k, 1).otherwise(0) for k in range(1, len(levels))], F.lit(0))
-    wanted = fore.unionByName(back).distinct().withColumn("level", level.cast("int"))
+    sought = wanted.withColumn("level", level.cast("int"))
     ranks = levels[0].select("g", "r", F.lit(0).alias("level"))
     for k, one in enumerate(levels[1:], 1):
         ranks = ranks.unionByName(one.select("g", "r", F.lit(k).alias("level")))
     tail = ranks.select(F.col("g").alias("tail"), F.col("r").alias("r2"), "level")
-    found = wanted.join(ranks, ["g", "level"]).withColumn("tail", F.expr("g + n - shiftleft(1, level)")).join(tail, ["tail", "level"])
+    found = sought.join(ranks, ["g", "level"]).withColumn("tail", F.expr("g + n - shiftleft(1, level)")).join(tail, ["tail", "level"])
     found = scratch.save(found.select("begin", "g", "n", "r", "r2"), "found")
     first = found.groupBy("n", "r", "r2").agg(F.min("g").alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
     # as a written table both sides of the next join are shuffled for it, and a run with very many copies is split
     first = scratch.save(first, "first")
     # where a copy overlaps the first occurrence, that one stays whole
     copies = found.join(first, ["n", "r", "r2"]).filter("g > first").select("begin", F.expr("greatest(g, first + n) - begin").alias("from"), F.expr("g + n - begin").alias("end"))
-    gone = copies.select("begin", F.explode(F.expr("sequence(`from`, end - 1)")).alias("no")).distinct()
-    islands = gone.withColumn("island", F.col("no") - F.row_number().over(Window.partitionBy("begin").orderBy("no")))
-    runs = islands.groupBy("begin", "island").agg(F.min("no").alias("first"), (F.max("no") + 1).alias("end"))
+    in_order = Window.partitionBy("begin").orderBy("from", "end")
+    reached = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = copies.distinct().withColumn("starts", F.when(F.col("from") <= reached, 0).otherwise(1))
+    islands = starts.withColumn("island", F.sum("starts").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = islands.groupBy("begin", "island").agg(F.min("from").alias("first"), F.max("end").alias("end"))
     runs = runs.groupBy("begin").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("runs"))
     out = scratch.save(runs.join(begins, "begin").select(*KEY, "runs"), "runs")
-    scratch.drop(names, known, units, found, first, *levels[1:])
+    scratch.drop(names, known, units, wanted, found, first, *levels[1:])
     return out
 
 

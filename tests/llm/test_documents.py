@@ -262,6 +262,23 @@ def test_line_runs_match_a_plain_search(spark, seed):
     assert found == plain_dedup(docs, 6)
 
 
+def test_sparse_line_runs(spark):
+    sparse = "".join(f"w{i}" + "\n" * 5 for i in range(60))
+    parted = "\n".join(f"v{i}" for i in range(30)) + "\n" * 100 + "\n".join(f"u{i}" for i in range(30))
+    tail = "t " * 60 + "\n" * 90 + "end"
+    docs = [(i, t, "en") for i, t in enumerate([sparse, parted, tail, sparse, "other\n" + parted, tail])]
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert found == {0: sparse, 1: parted, 2: tail, 3: "", 4: "other", 5: ""}
+
+
+def test_sparse_line_runs_match_a_plain_search(spark):
+    rng = random.Random(7)
+    docs = [(i, "\n".join(rng.choice(["", "", "", "a", "b c"] if rng.random() < 0.2 else [""]) for _ in range(90))) for i in range(3)]
+    docs += [(3, docs[0][1] + "\nz"), (4, "y\n" + docs[1][1][20:])]
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, [(i, t, "en") for i, t in docs]), min_words=6).collect()}
+    assert found == plain_dedup(docs, 6)
+
+
 def test_line_dedup_of_awkward_rows(spark, docs):
     found = line_dedup.dedup_lines(docs).collect()
     assert len(found) == len(ROWS)
