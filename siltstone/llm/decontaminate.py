@@ -146,10 +146,17 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, **options) -> DataFrame:
-    """``docs`` without its contaminated rows; all columns stay."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, width: int = WINDOW, **options) -> DataFrame:
+    """``docs`` without the rows that leak benchmark text; all columns stay.
+
+    A row goes if a whole window of ``width`` words of an item occurs in it, however long the row
+    is. Items of fewer words may be common phrases: what they hit counts by the share of
+    ``contamination_report`` only. Null and empty texts leak nothing and stay, as do all rows
+    where the benchmark has no words; null ids and repeated rows are judged by their texts.
+    """
     aliased = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)))
     place = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
-    matches, _ = find_matches(aliased, benchmark, place[options.pop("id_col", "doc_id")], place[options.pop("text_col", "text")], keep=aliased.columns, **options)
-    clean = matches.withColumn("n_hit", hit_words()).filter(~_contaminated(share))
+    matches, _ = find_matches(aliased, benchmark, place[options.pop("id_col", "doc_id")], place[options.pop("text_col", "text")], width=width, keep=aliased.columns, **options)
+    whole = F.exists("hits", lambda h: h["len"] >= width)
+    clean = matches.withColumn("n_hit", hit_words()).filter(~whole & ~_contaminated(share))
     return clean.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)))

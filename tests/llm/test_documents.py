@@ -320,7 +320,19 @@ def test_contamination_matches_a_plain_search(spark):
     found = decontaminate.contamination_report(frame(spark, [(i, t, "en") for i, t in docs]), table)
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found.collect()) == plain_contamination(docs, bench)
     clean = decontaminate.drop_contaminated(frame(spark, [(i, t, "en") for i, t in docs]), table)
-    assert clean.count() == sum(not r[-1] for r in plain_contamination(docs, bench)) and clean.columns == frame(spark, []).columns
+    long = [(i, t) for i, t in bench if len(ascii_words(t)) >= 13]
+    want = [a[0] for a, b in zip(plain_contamination(docs, bench), plain_contamination(docs, long), strict=True) if not a[-1] and not b[2]]
+    assert sorted(str(r.doc_id) for r in clean.collect()) == want and clean.columns == frame(spark, []).columns
+
+
+def test_no_kept_document_holds_a_window(spark):
+    item = " ".join(f"w{i}" for i in range(14))
+    docs = [(1, "clean words " * 400 + item + " more words" * 400, "en"), (2, "clean words " * 400, "en"), (3, " ".join(item.split()[:12]) + " else " * 300, "en"), (4, "a few short words " * 50, "en"), (5, None, "en")]
+    table = spark.createDataFrame([(1, item), (2, "few short"), (3, "short " * 3)], "item_id bigint, text string")
+    kept = decontaminate.drop_contaminated(frame(spark, docs), table)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5]
+    report = {r.doc_id: r for r in decontaminate.contamination_report(frame(spark, docs), table).collect()}
+    assert report[1].n_hit == 14 and not report[1].contaminated and report[4].contaminated
 
 
 def test_contamination_of_empty_tables_and_near_matches(spark, docs):
