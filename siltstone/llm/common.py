@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that a worker turns into arrays at a time.
 BLOCK_CHARS = 1 << 20
@@ -18,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+KEY = ["rid", "text_key", "text_key2"]
+
+
+def document_key(id_col: str, text_col: str) -> list[Column]:
+    """A row's key: its id (the largest bigint where it is null) and 128 bits of its text. Equal rows share it."""
+    text = F.col(f"`{text_col}`")
+    return [F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit((1 << 63) - 1)).alias("rid"), F.xxhash64(text).alias("text_key"), F.xxhash64(F.lit(1), text).alias("text_key2")]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -8,20 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.llm.common import Scratch
+from siltstone.llm.common import KEY, Scratch, document_key
 
 #: A repeated run of lines counts from so many words on.
 MIN_WORDS = 50
 
-KEY = ["rid", "text_key", "text_key2"]
-
-
-def document_key(id_col: str, text_col: str) -> list[Column]:
-    """A row's key: its id (the largest bigint where it is null) and 128 bits of its text. Equal rows share it."""
-    text = F.col(f"`{text_col}`")
-    return [F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit((1 << 63) - 1)).alias("rid"), F.xxhash64(text).alias("text_key"), F.xxhash64(F.lit(1), text).alias("text_key2")]
-
-
 def number_lines(sizes: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds ``begin``, the number of lines in all earlier documents, to (*KEY, n_lines).
 

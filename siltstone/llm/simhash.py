@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import Scratch, text_blocks
+from siltstone.llm.common import KEY, Scratch, document_key, text_blocks
 from siltstone.llm.components import components
 
 MAX_BITS = 4
@@ -48,14 +48,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every whole text: a map without a shuffle. Null text has no words: fingerprint 0."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+    """(doc_id, *KEY, fp) of every whole text: a map without a shuffle. Null text has no words: fingerprint 0."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), *document_key(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType([*(rows.schema[c] for c in ("doc_id", *KEY)), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_blocks(batches, "text"):
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": pa.array([fingerprint(t) for t in texts], pa.int64())})
+            yield pa.RecordBatch.from_pydict({c: part.column(c) for c in ("doc_id", *KEY)} | {"fp": pa.array([fingerprint(t) for t in texts], pa.int64())})
 
-    return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _signed(x: int) -> int:
@@ -135,6 +136,20 @@ def link_fingerprints(nodes: DataFrame, scratch: Scratch, bits: int = MAX_BITS)
     return out
 
 
+def linked_rows(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
+    """(doc_id, *KEY, fp, component_id, first) of every row: first is the key of the row that stands for its component."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.save(fingerprints(docs, id_col, text_col), "prints")
+    nodes = scratch.save(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.min(F.struct(*KEY)).alias("first")), "nodes")
+    linked = link_fingerprints(nodes.select("fp", "n"), scratch, bits)
+    named = scratch.save(nodes.join(linked, "fp").select("fp", "low", "first", "component"), "named")
+    # as a written table both sides of the next joins are shuffled for them, and a very large component is split
+    ids = scratch.save(named.groupBy("component").agg(F.min("low").alias("component_id"), F.min("first").alias("first")), "ids")
+    by_print = scratch.save(named.select("fp", "component").join(ids, "component").select("fp", "component_id", "first"), "by-print")
+    scratch.drop(nodes, linked, named, ids)
+    return prints.join(by_print, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -146,22 +161,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     take part and get their component's smallest id, null if it has none. Repeated rows give
     repeated results; an empty table gives an empty result; other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.save(fingerprints(docs, id_col, text_col), "prints")
-    nodes = scratch.save(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), "nodes")
-    linked = link_fingerprints(nodes.select("fp", "n"), scratch, bits)
-    named = nodes.join(linked, "fp").select("fp", "low", "component")
-    ids = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_print = scratch.save(named.join(ids, "component").select("fp", "component_id"), "ids")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = linked_rows(docs, id_col, text_col, bits)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id. All columns stay.
 
-    Rows without an id, which nothing can name, stay; so do repeated rows of the id that stays.
+    A document is what rows with one id and one text are: where an id comes with several texts,
+    each is judged on its own, and of several in one component that with the smallest text key
+    stays. Rows without an id come last. All rows of a document that stays do; null and empty texts
+    are one component, of which one document stays; an empty table stays empty.
+
     The join shuffles the texts however few rows go, so the plan is the same at every size.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    extra = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(extra.hint("merge"), docs[id_col] == extra["__drop"], "left_anti")
+    place = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in place.items()))
+    found = linked_rows(rows, place[id_col], place[text_col], bits)
+    extra = found.filter(F.struct(*KEY) != F.col("first")).select(*KEY).distinct()
+    kept = rows.select("*", *document_key(place[id_col], place[text_col])).join(extra.hint("merge"), KEY, "left_anti")
+    return kept.select(*(F.col(n).alias(c) for c, n in place.items()))

@@ -131,7 +131,18 @@ def test_simhash_of_awkward_rows(spark, docs):
     want = sorted((str(r[0]), f"{p:016x}", smallest[g]) for r, p, g in zip(ROWS, prints, group, strict=True))
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in rows) == want
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    assert simhash.drop_near_duplicates(docs).columns == docs.columns
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.select("__c0", "score").distinct().count() == 1
+    by_component = {g: min((r[0] is None, r[0] or 0) for r, h in zip(ROWS, group, strict=True) if h == g) for g in group}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r, g in zip(ROWS, group, strict=True) if (r[0] is None, r[0] or 0) == by_component[g])
+
+
+def test_near_duplicates_of_a_repeated_id(spark):
+    a, b, c = "some text that comes twice", "another text which stands alone here", "a third one with words of its own"
+    rows = [(3, a, "en"), (7, a, "en"), (7, b, "en"), (9, c, "en"), (9, c, "en"), (None, c, "en"), (None, "no id and no copy at all", "en"), (4, None, None), (5, "", None)]
+    kept = simhash.drop_near_duplicates(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("3", a), ("4", None), ("7", b), ("9", c), ("9", c), ("None", "no id and no copy at all")]
+    assert simhash.drop_near_duplicates(frame(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize("chance", [4, 1 << 40])
