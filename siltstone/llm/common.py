@@ -85,15 +85,20 @@ def clear_scratch(spark: SparkSession) -> None:
         _remove(spark, _roots.pop())
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of Arrow batches whose texts hold about ``limit`` bytes, with the texts as Python strings."""
+def row_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches whose texts hold about ``limit`` bytes."""
     for batch in batches:
-        texts = batch.column(column)
         start = size = 0
-        for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
             size += n or 0
             if size >= limit:
-                yield (part := batch.slice(start, i + 1 - start)), part.column(column).to_pylist()
+                yield batch.slice(start, i + 1 - start)
                 start, size = i + 1, 0
         if start < batch.num_rows:
-            yield (part := batch.slice(start)), part.column(column).to_pylist()
+            yield batch.slice(start)
+
+
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """``row_blocks`` with the texts as Python strings."""
+    for part in row_blocks(batches, column, limit):
+        yield part, part.column(column).to_pylist()

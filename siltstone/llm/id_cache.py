@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-
 
 class IdCache:
     """Packed ids of up to about ``limit`` words; when it is full, those not used since the last time go.
@@ -18,18 +16,17 @@ class IdCache:
         self.old: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
 
-    def fill(self, words: list[str]) -> dict[str, bytes]:
-        """The dictionary that now holds all of ``words``."""
+    def packed(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each of ``words``."""
         if len(self.new) > self.limit // 2:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        if missing := set(words).difference(new):
-            known = {w: ids for w in missing if (ids := old.get(w)) is not None}
-            new.update(known)
-            if rest := [w for w in missing if w not in known]:
-                new.update(zip(rest, self.encode(rest), strict=True))
-        return new
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        """All ids of ``words``, one word after another."""
-        return np.frombuffer(b"".join(map(self.fill(words).__getitem__, words)), np.uint32)
+        out = list(map(new.get, words))
+        if missing := [w for w, ids in zip(words, out, strict=True) if ids is None]:
+            found = dict(zip(missing, map(old.get, missing), strict=True))
+            if rest := [w for w, ids in found.items() if ids is None]:
+                found.update(zip(rest, self.encode(rest), strict=True))
+            new.update(found)
+            it = iter(missing)
+            out = [found[next(it)] if ids is None else ids for ids in out]
+        return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -11,6 +12,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from siltstone.llm.common import Scratch, text_blocks
+from siltstone.llm.common import Scratch, row_blocks
 from siltstone.llm.id_cache import IdCache
 
 END_ID = 1
@@ -27,31 +29,46 @@ MIN_CHUNK, MASK_BITS, MAX_CHUNK = 128, 9, 4096
 #: Ids that the rolling hash looks back on.
 ROLL = 16
 DIGEST_BYTES = 16
+#: Bytes of text that are encoded at a time.
+BLOCK = 4 << 20
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Ends of content-defined chunks: a cut stands where the rolling hash of the last ROLL ids has MASK_BITS zeros.
+def cut_places(ids: np.ndarray) -> np.ndarray:
+    """Places behind which the rolling hash of the last ROLL ids has MASK_BITS zeros.
 
-    Where a passage recurs the cuts inside it recur, whatever stands before it.
+    Where a passage recurs the places inside it recur, whatever stands before it.
     """
-    n = len(ids)
-    if n <= MIN_CHUNK:
-        return [n]
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     total = np.cumsum(mixed)
     roll = total.copy()
     roll[ROLL:] -= total[:-ROLL]
     roll *= np.uint64(0xBF58476D1CE4E5B9)
-    cuts = np.flatnonzero(roll >> np.uint64(64 - MASK_BITS) == 0) + 1
-    out, start = [], 0
-    for cut in [*cuts.tolist(), n]:
-        while cut - start > MAX_CHUNK:
-            start += MAX_CHUNK
-            out.append(start)
-        if cut - start >= MIN_CHUNK or cut == n and cut > start:
-            out.append(cut)
-            start = cut
+    return np.flatnonzero(roll >> np.uint64(64 - MASK_BITS) == 0) + 1
+
+
+def chunk_ends(ids: np.ndarray, stream_ends: list[int] | None = None) -> list[list[int]]:
+    """Ends of the content-defined chunks of each stream, counted from the stream's start.
+
+    ids: streams one behind another, up to ``stream_ends`` each. A chunk has MIN_CHUNK ids at least
+    (unless the stream ends), so its first ROLL ids, whose hash would see the stream before, cut nothing.
+    """
+    stream_ends = [len(ids)] if stream_ends is None else stream_ends
+    places = cut_places(ids)
+    firsts = [0, *stream_ends[:-1]]
+    low = np.searchsorted(places, firsts, "right").tolist()
+    high = np.searchsorted(places, stream_ends, "left").tolist()
+    out = []
+    for first, end, a, b in zip(firsts, stream_ends, low, high, strict=True):
+        n, start, ends = end - first, 0, []
+        for cut in [*(places[a:b] - first).tolist(), n] if n > MIN_CHUNK else [n]:
+            while cut - start > MAX_CHUNK:
+                start += MAX_CHUNK
+                ends.append(start)
+            if cut - start >= MIN_CHUNK or cut == n and cut > start:
+                ends.append(cut)
+                start = cut
+        out.append(ends)
     return out
 
 
@@ -69,18 +86,22 @@ def chunk_digest(chunk: bytes) -> bytes:
 
 
 #: Words that the library encodes as one string.
-JOINED = 64
+JOINED = 256
+#: Punctuation that is a pre-token of its own behind letters. Apostrophes start contractions.
+_TAIL = "".join(c for c in string.punctuation if c != "'")
 
 
 class WordEncoder:
     """The tokenizers library with a memory of words.
 
     Spaces and line breaks separate pre-tokens in the library too and no id spans them, so a
-    text's ids are its words' ids one after another. A full stop or comma behind a letter is a
-    pre-token of its own, and the library lower-cases, so words that differ in these alone are
-    encoded once. Special tokens in a text have their own ids, as in the library's plain call; it
-    looks for them before it lower-cases, so words with "<|" stay as they are. Words of letters are encoded many in one string and told apart by the
-    vocabulary's word ends; if their number is not that of the words, each is encoded alone.
+    text's ids are its words' ids one after another. A block of texts is cut into words and these
+    are numbered by Arrow, so each distinct word of a block is looked up once. Punctuation behind
+    letters is a pre-token of its own, and the library lower-cases, so words that differ in these
+    alone are encoded once. Special tokens in a text have their own ids, as in the library's plain
+    call; it looks for them before it lower-cases, so words with "<|" stay as they are. Words of
+    letters are encoded many in one string and told apart by the vocabulary's word ends; if their
+    number is not that of the words, each is encoded alone.
     """
 
     def __init__(self, path: str):
@@ -92,9 +113,8 @@ class WordEncoder:
         self.width = 2 if len(vocabulary) <= 1 << 16 else 4
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.tails = dict(zip(".,", self._alone([".", ","]), strict=True))
-        self.stems = IdCache(self._encode, 400_000)
-        self.words = IdCache(self._compose, 700_000)
+        self.stems = IdCache(self._encode, 500_000)
+        self.words = IdCache(self._compose, 600_000)
 
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -114,18 +134,35 @@ class WordEncoder:
         return [found[w] for w in words]
 
     def _compose(self, words: list[str]) -> list[bytes]:
-        split = []
+        stems, tails = [], []
         for w in words:
-            stem = w.lower() if w.isascii() and "<|" not in w else w
-            if stem[-1:] in (".", ",") and "a" <= stem[-2:-1] <= "z":
-                split.append((stem[:-1], stem[-1]))
-            else:
-                split.append((stem, ""))
-        stems = self.stems.fill([stem for stem, _ in split])
-        return [stems[stem] + self.tails[tail] if tail else stems[stem] for stem, tail in split]
+            stem = w if w.isalpha() else w.rstrip(_TAIL)
+            if stem is not w and not stem.isalpha():
+                stem = w
+            tails.append(w[len(stem) :])
+            stems.append(stem.lower() if stem.isascii() and "<|" not in stem else stem)
+        ends = list(set(tails))
+        of_tail = dict(zip(ends, self.stems.packed(ends), strict=True))
+        return [ids + of_tail[t] if t else ids for ids, t in zip(self.stems.packed(stems), tails, strict=True)]
+
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one text after another, and the end of each text's ids. Null counts as empty."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        # words have no space in them, so one string tells them apart again
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ")
+        packed = self.words.packed(distinct)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        first = np.cumsum(size) - size
+        word = coded.indices.to_numpy()
+        long = size[word]
+        end = np.cumsum(long)
+        at = np.repeat(first[word] - end + long, long) + np.arange(end[-1] if len(end) else 0)
+        last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        return np.frombuffer(b"".join(packed), np.uint32)[at], end[last - 1] if len(last) else last
 
     def ids(self, text: str) -> np.ndarray:
-        return self.words.ids(text.replace("\n", " ").split(" "))
+        return self.block(pa.array([text], pa.string()))[0]
 
 
 @lru_cache(2)
@@ -143,17 +180,19 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task = encoder(tokenizer_path), TaskContext.get()
         uid = task.partitionId() << 33 if task else 0
-        for part, texts in text_blocks(batches, "text"):
+        types = {"sizes": pa.list_(pa.int32()), "digests": pa.list_(pa.binary()), "root": pa.binary(), "ids": pa.binary(), "n_tokens": pa.int64()}
+        for part in row_blocks(batches, "text", BLOCK):
+            ids, ends = words.block(part.column("text"))
+            ids, ends = np.insert(ids, ends, END_ID), (ends + np.arange(1, len(ends) + 1)).tolist()
+            packed, w = ids.astype(f"<u{words.width}").tobytes(), words.width
             out = {c: [] for c in ("n_tokens", "sizes", "digests", "root", "ids")}
-            for text in texts:
-                ids = np.append(words.ids(text or ""), np.uint32(END_ID))
-                ends = chunk_ends(ids)
-                raw, w = ids.astype(f"<u{words.width}").tobytes(), words.width
-                digests = [chunk_digest(raw[a * w : b * w]) for a, b in zip([0, *ends], ends, strict=False)]
-                for c, v in zip(out, (len(ids), np.diff([0, *ends]).tolist(), digests, merkle_root(digests), raw), strict=True):
+            for first, end, cuts in zip([0, *ends[:-1]], ends, chunk_ends(ids, ends), strict=True):
+                raw = packed[first * w : end * w]
+                starts = [0, *cuts[:-1]]
+                digests = [chunk_digest(raw[a * w : b * w]) for a, b in zip(starts, cuts, strict=True)]
+                for c, v in zip(out, (end - first, [b - a for a, b in zip(starts, cuts, strict=True)], digests, merkle_root(digests), raw), strict=True):
                     out[c].append(v)
-            n = len(texts)
-            types = {"sizes": pa.list_(pa.int32()), "digests": pa.list_(pa.binary()), "root": pa.binary(), "ids": pa.binary(), "n_tokens": pa.int64()}
+            n = part.num_rows
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "uid": pa.array(range(uid, uid + n), pa.int64())} | {c: pa.array(v, types[c]) for c, v in out.items()})
             uid += n
 

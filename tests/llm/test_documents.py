@@ -5,9 +5,11 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -360,7 +362,6 @@ def test_contamination_of_empty_tables_and_near_matches(spark, docs):
 
 def test_store_of_awkward_rows(spark, docs):
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     want, start = [], 0
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
     nulls = []
@@ -381,11 +382,34 @@ def test_special_tokens_in_texts_are_those_of_the_library():
         assert words.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+WORD_PIECES = ["a", "B", "Word", "É", "é", "J\u030c", "I\u0307", "中", "'", "'s", "'LL", " ", "  ", "\n", "\t", "\xa0", "1", "²", ".", ",", "###", "$$", "<|", "|>", "<|endoftext|>", "_", "-", "😀", "Σ", "ς", "ing"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(WORD_PIECES), max_size=12).map("".join), max_size=4))
+def test_word_ids_are_those_of_the_library(texts):
+    library, words = word_library(), token_store.encoder(WORDS)
+    ids, ends = words.block(pa.array([*texts, None], pa.string()))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and ends.tolist()[:-1] == np.cumsum([len(w) for w in want]).tolist()
+
+
+@lru_cache
+def word_library():
+    return Tokenizer.from_file(WORDS)
+
+
+def test_chunks_of_streams_are_those_of_each_alone():
+    streams = [np.random.default_rng(i).integers(0, 40000, n).astype(np.uint32) for i, n in enumerate((5, 3000, 128, 0, 129, 9000, 1))]
+    together = token_store.chunk_ends(np.concatenate(streams), np.cumsum([len(s) for s in streams]).tolist())
+    assert together == [token_store.chunk_ends(s)[0] for s in streams]
+
+
 def test_chunks_recur_and_damage_is_seen(spark):
     ids = np.random.default_rng(0).integers(0, 40000, 20000).astype(np.uint32)
-    ends = token_store.chunk_ends(ids)
+    ends = token_store.chunk_ends(ids)[0]
     assert ends[-1] == len(ids) and max(np.diff([0, *ends])) <= token_store.MAX_CHUNK and len(ends) > 10
-    shifted = [e - 100 for e in token_store.chunk_ends(np.concatenate([ids[:100][::-1], ids]))]
+    shifted = [e - 100 for e in token_store.chunk_ends(np.concatenate([ids[:100][::-1], ids]))[0]]
     assert len(set(ends) & set(shifted)) > len(ends) * 0.8
     assert token_store.merkle_root([b"a", b"b"]) != token_store.merkle_root([b"b", b"a"]) != token_store.merkle_root([b"ab"])
     store, manifest = token_store.store_tokens(frame(spark, [(i, LONG, "en") for i in range(6)]), WORDS)
