@@ -30,16 +30,49 @@ NOTICE_PHRASES = {
     "redistribution and use in source and binary forms": "bsd",
     "mozilla public license": "mpl-2",
     "creative commons attribution": "cc-by",
+    "creative commons zero": "cc0-1",
+    "boost software license": "bsl-1",
+    "eclipse public license": "epl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "gnu free documentation license": "gfdl",
+    "open data commons open database license": "odbl",
+    "sil open font license": "ofl-1",
+    "python software foundation license": "psf",
+    "permission to use copy modify and or distribute this software": "isc",
+    "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "proprietary",
 }
-TAG_PHRASE = "spdx license identifier"
-PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "cc0-1.0", "cc-by-4.0"}
+#: Tags in front of a licence expression, in lower case; blanks may stand between tag and colon.
+TAGS = ["spdx-license-identifier", "license-expression"]
+
+# Identifiers of licences in lower case. Families with versions come from the rules below.
+PERMISSIVE_NAMES = """
+    0bsd afl-2.1 afl-3.0 apache-1.1 apache-2.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent
+    bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 bzip2-1.0.6 cc0-1.0 curl fsfap ftl hpnd icu ijg isc libpng
+    libpng-2.0 mit mit-0 mit-cmu ms-pl mulanpsl-2.0 ncsa ofl-1.1 openssl pddl-1.0 php-3.01 postgresql psf-2.0
+    python-2.0 ruby tcl unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1
+"""
+OTHER_NAMES = """
+    apache-1.0 apsl-2.0 artistic-1.0 busl-1.1 cddl-1.0 cddl-1.1 cecill-2.1 cecill-b cecill-c cpal-1.0 cpl-1.0 ecl-2.0
+    efl-2.0 elastic-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 ipl-1.0 json lppl-1.3c mpl-1.0 mpl-1.1 mpl-2.0 ms-rl nasa-1.3
+    nposl-3.0 odbl-1.0 odc-by-1.0 osl-3.0 qpl-1.0 rpl-1.5 rpsl-1.0 sleepycat spl-1.0 sspl-1.0 sugarcrm-1.1.3 watcom-1.0
+"""
+_GNU = {"gpl": ("1.0", "2.0", "3.0"), "lgpl": ("2.0", "2.1", "3.0"), "agpl": ("1.0", "3.0"), "gfdl": ("1.1", "1.2", "1.3")}
+_CC_KINDS, _CC_VERSIONS = ("by", "by-nc", "by-nc-nd", "by-nc-sa", "by-nd", "by-sa"), ("1.0", "2.0", "2.5", "3.0", "4.0")
+
+PERMISSIVE = {*PERMISSIVE_NAMES.split(), *(f"cc-by-{v}" for v in _CC_VERSIONS)}
+KNOWN = {
+    *PERMISSIVE, *OTHER_NAMES.split(),
+    *(f"{name}-{v}{end}" for name, versions in _GNU.items() for v in versions for end in ("", "-only", "-or-later")),
+    *(f"cc-{kind}-{v}" for kind in _CC_KINDS for v in _CC_VERSIONS),
+}
 #: A tag's expression label that has a base label's meaning.
 TAG_LABELS = {"apache-2.0": "apache-2", "gpl-3.0": "gpl-3", "gpl-2.0": "gpl-2"}
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_TAG = re.compile(r"spdx-license-identifier[ \t]*:", re.I)
-_LINE_END = re.compile(r"[\r\n]")
+_COLON = re.compile(rb"[ \t]*:")
+_LINE_END = re.compile(rb"[\r\n]")
 _PART = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -95,37 +128,48 @@ def to_postfix(expression: str) -> list[str]:
     return out + held[::-1]
 
 
+def is_known(name: str) -> bool:
+    """Whether a lower-case name is a licence identifier: one of KNOWN, with "+" or not, or a reference of its own."""
+    return name.removesuffix("+") in KNOWN or name.startswith("licenseref-") or name.startswith("documentref-") and ":licenseref-" in name
+
+
 def evaluate(postfix: list[str], allowed: set[str] = PERMISSIVE) -> tuple[bool, list[str]]:
-    """Whether ``allowed`` licences satisfy the expression, and its licence names in order."""
-    stack, names = [], []
+    """Whether ``allowed`` licences satisfy the expression, and its known licence names in order.
+
+    Unknown names satisfy nothing and are not among the names. An exception behind ``with``
+    changes neither; it has to be a single name (else ValueError), what it excepts may be compound.
+    """
+    stack: list[tuple[bool, list[str], bool]] = []
     for part in postfix:
         if part not in _BINDS:
-            stack.append((part in allowed, part))
+            stack.append((part.removesuffix("+") in allowed, [part] if is_known(part) else [], True))
             continue
         right, left = stack.pop(), stack.pop()
         if part == "with":
-            names.append(left[1])
-            stack.append((left[0], None))
-            continue
-        names += [x[1] for x in (left, right) if x[1]]
-        stack.append((left[0] and right[0] if part == "and" else left[0] or right[0], None))
-    held, last = stack.pop()
-    return held, list(dict.fromkeys([*names, *([last] if last else [])]))
+            if not right[2]:
+                raise ValueError("an exception has to be a name")
+            stack.append((left[0], left[1], False))
+        else:
+            stack.append((left[0] and right[0] if part == "and" else left[0] or right[0], left[1] + right[1], False))
+    held, names, _ = stack.pop()
+    return held, list(dict.fromkeys(names))
 
 
-def tag_values(text: str) -> Iterator[str]:
-    """What stands behind each tag, up to the line's end or the next tag."""
-    tags = list(_TAG.finditer(text))
-    for tag, after in zip(tags, [*(t.start() for t in tags[1:]), len(text)], strict=True):
-        line = _LINE_END.search(text, tag.end(), after)
-        yield text[tag.end() : line.start() if line else after]
+def tag_values(data: bytes) -> Iterator[str]:
+    """What stands behind each tag of a UTF-8 text, up to the line's end or the next tag."""
+    found = tag_automaton().iter(data.lower().decode("latin-1"))
+    tags = [(end + 1 - len(tag), colon.end()) for end, tag in found if (colon := _COLON.match(data, end + 1))]
+    for (_, start), after in zip(tags, [*(first for first, _ in tags[1:]), len(data)], strict=True):
+        line = _LINE_END.search(data, start, after)
+        yield data[start : line.start() if line else after].decode("utf-8", "replace")
 
 
 @lru_cache(1)
 def automaton() -> ahocorasick.Automaton:
+    """Phrases over a text's words, each between spaces; a tag's words have no label."""
     found = ahocorasick.Automaton()
     entries: dict[str, list] = {}
-    for base, phrases in ((True, BASE_PHRASES), (False, NOTICE_PHRASES), (False, {TAG_PHRASE: ""})):
+    for base, phrases in ((True, BASE_PHRASES), (False, NOTICE_PHRASES), (False, {t.replace("-", " "): "" for t in TAGS})):
         for phrase, label in phrases.items():
             entries.setdefault(phrase, []).append((base, label))
     for phrase, marks in entries.items():
@@ -134,9 +178,20 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+@lru_cache(1)
+def tag_automaton() -> ahocorasick.Automaton:
+    """Tags as they stand in lower-cased text."""
+    found = ahocorasick.Automaton()
+    for tag in TAGS:
+        found.add_word(tag, tag)
+    found.make_automaton()
+    return found
+
+
 def scan(text: str | None) -> tuple:
     """One text's row of SCHEMA without the id."""
-    words = (text or "").encode().translate(_TO_WORDS).split()
+    data = (text or "").encode()
+    words = data.translate(_TO_WORDS).split()
     flat = b" " + b" ".join(words) + b" "
     base, labels, weight, tagged = [], set(), 0, False
     base_labels = set()
@@ -152,15 +207,18 @@ def scan(text: str | None) -> tuple:
             labels.add(label)
             weight += 2 if is_base else 1
     expressions, permissive = [], None
-    for raw in tag_values(text) if tagged else ():
+    for raw in tag_values(data) if tagged else ():
         try:
             postfix = to_postfix(raw)
+            ok, names = evaluate(postfix)
         except ValueError:
             continue
-        ok, names = evaluate(postfix)
+        if not names:
+            continue
         permissive = ok if permissive is None else permissive and ok
         expressions.append(" ".join(postfix))
-        labels |= {TAG_LABELS.get(x.removesuffix("-only").removesuffix("-or-later"), x) for x in names}
+        plain = [x.removesuffix("+").removesuffix("-only").removesuffix("-or-later") for x in names]
+        labels |= {TAG_LABELS.get(x, x) for x in plain}
         weight += 3
     at = [flat.count(b" ", 0, x) for x in ((min(base), max(base)) if base else ())]
     return (
@@ -174,12 +232,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A map without a shuffle: one pass of an Aho-Corasick automaton over each text's words.
     ``n_base`` counts all places of the base phrases, ``first_word`` and ``last_word`` are the
-    smallest and largest start (words from 0), ``labels`` adds further notices and the names in
-    ``SPDX-License-Identifier`` tags, whose expression a shunting-yard parser evaluates
-    (``permissive``: whether permissive licences satisfy every tag). ``score`` is
+    smallest and largest start (words from 0), ``labels`` adds further notices and the known
+    licences in tags (TAGS, found by an automaton too), whose expression a shunting-yard parser
+    evaluates (``permissive``: whether permissive licences satisfy every tag). ``score`` is
     1 - 0.5 ** evidence, with 2 for a base place, 1 for another notice and 3 for a tag.
 
-    Null text counts as empty: no words, no labels, score 0. Malformed tags give no label.
+    Null text counts as empty: no words, no labels, score 0. Malformed tags and those without a
+    known licence identifier give no label and no evidence.
     Repeated rows give repeated results; null ids stay null; other columns are ignored.
     """
 

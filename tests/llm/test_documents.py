@@ -232,6 +232,79 @@ def test_licence_expressions():
     assert row[1] == 2 and row[4] == "mit" and row[5] == "apache-2,gpl-3,mit,proprietary" and row[8] is True
 
 
+def test_compound_and_unknown_licences():
+    read = lambda t: license_scan.scan(f"x SPDX-License-Identifier: {t}\n")[5:]
+    assert read("(MIT OR Apache-2.0) WITH LLVM-exception")[::3] == ("apache-2,mit", True)
+    assert read("GPL-2.0+ WITH Classpath-exception-2.0 WITH other")[::3] == ("gpl-2", False)
+    assert read("MIT AND no-such-licence")[::3] == ("mit", False) and read("MIT OR no-such-licence")[::3] == ("mit", True)
+    for nothing in ("foo bar baz", "MIT WITH (A OR B)", "WITH MIT", "MIT WITH", "(MIT", "", "OR", "MIT OR spdx-license-identifier: nothing"):
+        assert read(nothing) == ("", 0.0, None, None)
+    assert license_scan.scan("SPDX-License-Identifier: MIT OR\nMIT")[5] == ""
+    assert license_scan.scan("license-expression : MPL-2.0 é")[5] == "mpl-2.0"
+
+
+LICENSE_PIECES = [*license_scan.BASE_PHRASES, *license_scan.NOTICE_PHRASES, "under the", "MIT", "license", "and", "é", "Permission", "\n", "SPDX-License-Identifier: ", "mit", "isc AND (zlib or nope)", " WITH x", "gpl-3.0-only or bsd-2-clause", ")", "("]
+
+
+def plain_scan(text):
+    """Phrases by search at every place, expressions by recursive descent."""
+    w = ascii_words(text)
+    at = lambda phrases: [(i, label) for phrase, label in phrases.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+    base, more = at(license_scan.BASE_PHRASES), at(license_scan.NOTICE_PHRASES)
+    labels, weight = {x for _, x in [*base, *more]}, 2 * len(base) + len(more)
+    for line in text.split("\n"):
+        for value in re.split("(?i)spdx-license-identifier: ", line)[1:]:
+            tokens, names = re.findall(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*", value.split("spdx-license-identifier")[0]), []
+
+            def primary():
+                if not tokens:
+                    raise ValueError
+                t = tokens.pop(0).lower()
+                if t == "(":
+                    either()
+                    if not tokens or tokens.pop(0) != ")":
+                        raise ValueError
+                elif t in ("and", "or", "with", ")"):
+                    raise ValueError
+                else:
+                    names.append(t)
+                while tokens and tokens[0].lower() == "with":
+                    tokens.pop(0)
+                    if not tokens or tokens[0].lower() in ("(", ")", "and", "or", "with"):
+                        raise ValueError
+                    tokens.pop(0)
+
+            def both():
+                primary()
+                while tokens and tokens[0].lower() == "and":
+                    tokens.pop(0)
+                    primary()
+
+            def either():
+                both()
+                while tokens and tokens[0].lower() == "or":
+                    tokens.pop(0)
+                    both()
+
+            try:
+                either()
+                if tokens and tokens[0] == ")":
+                    raise ValueError
+            except ValueError:
+                continue
+            if known := [x for x in names if license_scan.is_known(x)]:
+                labels |= {license_scan.TAG_LABELS.get(x, x) for x in (y.removesuffix("-only") for y in known)}
+                weight += 3
+    return len(w), len(base), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), 1 - 0.5 ** min(weight, 50)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(LICENSE_PIECES), max_size=10).map(" ".join))
+def test_labels_match_a_plain_scan(text):
+    row = license_scan.scan(text)
+    assert (row[0], row[1], row[4], row[5], row[6]) == plain_scan(text)
+
+
 def test_tags_on_long_lines():
     two = "/* SPDX-License-Identifier: MIT */ x=1; /* SPDX-License-Identifier: GPL-3.0-only */ y"
     row = license_scan.scan(two)
