@@ -68,18 +68,24 @@ def parse_headers(raw: bytes) -> dict[str, str]:
 
 
 def inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """The content of a gzip file of one or many members, in blocks of bounded size."""
-    stream = zlib.decompressobj(31)
+    """The content of a gzip file of one or many members, in blocks of bounded size.
+
+    Raises ValueError where the file ends inside a member, its trailer included.
+    """
+    stream, begun = zlib.decompressobj(31), False
     for chunk in chunks:
         while chunk:
+            begun = True
             if out := stream.decompress(chunk, BLOCK):
                 yield out
             if stream.eof:
-                chunk, stream = stream.unused_data, zlib.decompressobj(31)
+                chunk, stream, begun = stream.unused_data, zlib.decompressobj(31), False
             else:
                 chunk = stream.unconsumed_tail
-    if out := stream.flush():
+    while begun and (out := stream.decompress(b"", BLOCK)):
         yield out
+    if begun and not stream.eof:
+        raise ValueError("the archive breaks off inside a gzip member")
 
 
 def records(blocks: Iterator[bytes]) -> Iterator[bytes]:
@@ -206,7 +212,7 @@ def read_archives(files: DataFrame, root: str) -> DataFrame:
     return files.mapInArrow(run, PAGE_FIELDS)
 
 
-def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
+def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int, scratch: Scratch) -> DataFrame:
     """(page_id, url, html, digest, refers_to, is_revisit): of equal payloads the smallest page_id answers for the others.
 
     Which page that is comes from small rows with partial sums; the payloads are dealt by page,
@@ -216,6 +222,8 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min
     rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").alias("url"), html.alias("html"))
     small = rows.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("bytes")).filter(F.col("bytes") >= min_bytes)
     first = small.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    # as a written table both sides of the next join are shuffled for it, and a payload with very many pages is split
+    first = scratch.save(first.drop("n"), "first")
     revisits = small.join(first, "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
     return rows.withColumn("digest", F.sha2("html", 256)).join(revisits, ["page_id", "digest"], "left").withColumn("is_revisit", F.col("refers_to").isNotNull())
 
@@ -236,7 +244,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     scratch = Scratch(pages.sparkSession, "warc")
     root = root or scratch.root
-    written = scratch.save(write_monolithic(plan_records(pages, id_col, url_col, html_col, min_bytes), root), "written")
+    written = scratch.save(write_monolithic(plan_records(pages, id_col, url_col, html_col, min_bytes, scratch), root), "written")
     spread = lambda df: df.repartition(max(1, df.count()))
     files = scratch.save(normalise(spread(written), root), "files")
     scratch.drop(written, f"{root}/monolithic")

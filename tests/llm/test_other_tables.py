@@ -94,6 +94,20 @@ def test_a_broken_archive_is_refused():
     assert len(list(warc.records(warc.inflate(parts(stream + stream))))) == 4
     with pytest.raises(ValueError, match="breaks off"):
         list(warc.records(iter([whole[:-3]])))
+    for cut in (1, 4, 8, 9, len(stream) - 1):
+        for data in (stream[:-cut], stream + stream[:-cut]):
+            with pytest.raises(ValueError, match="breaks off"):
+                list(warc.records(warc.inflate(parts(data))))
+    large = zlib.compress(b"x" * (5 * warc.BLOCK), wbits=31)
+    assert sum(map(len, warc.inflate(iter([large])))) == 5 * warc.BLOCK
+
+
+def test_one_very_long_payload_and_many_copies(spark):
+    long = "<p>long</p>" * 400_000
+    rows = [(1, "u", long), (2, "u", long), *((i, "u", "<b>copy</b>" * 20) for i in range(3, 300))]
+    found = {r.page_id: r for r in warc.archive_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"))[1].collect()}
+    assert found[2].refers_to == 1 and found[1].payload_bytes == len(long) and len(found) == len(rows)
+    assert all(found[i].refers_to == 3 for i in range(4, 300)) and found[3].record_type == "response"
 
 
 # -- transcripts ----------------------------------------------------------------------------------
