@@ -10,12 +10,14 @@ from pyspark.sql.window import Window
 from siltstone.llm.common import Scratch
 
 WINDOW = 13
-#: Words by which the two rarest terms of a window may be out of place in a proximity match.
+#: Rarest terms of a window that its postings are kept for.
+RAREST = 3
+#: Words by which two of these may be out of place in a proximity match.
 SLACK = 3
 #: A document is contaminated from one hit word in so many on.
 SHARE = 20
-#: A table of benchmark terms with more rows than this is joined by shuffle instead of broadcast.
-BROADCAST_ROWS = 500_000
+#: A table of benchmark terms with more rows or bytes of text than this is joined by shuffle instead of broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words of lower-cased text.
@@ -42,8 +44,10 @@ def word_count(raw: Column) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Marked for broadcast if its counted rows and bytes allow it. A written table, so that a join by shuffle can split hot keys."""
+    text = sum([F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"], F.lit(0))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def benchmark_windows(benchmark: DataFrame, scratch: Scratch, width: int, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -58,20 +62,25 @@ def benchmark_windows(benchmark: DataFrame, scratch: Scratch, width: int, item_c
 
 
 def rarest_terms(docs_raw: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(term, wid, off, bit, need): each window's two rarest terms in the documents, by counts over all of them.
+    """(term, wid, off, bit, need): each window's RAREST terms in the documents, by counts over all of them.
 
-    A window with a term that no document holds occurs nowhere and is left out.
+    Terms that no document holds are passed over; a window with one cannot occur (need 0). Else
+    need has the bits of all terms chosen. Counts are summed before they meet the vocabulary.
     """
     terms = scratch.save(windows.select("wid", F.posexplode(F.split("phrase", " ")).alias("off", "term")), "terms")
-    vocabulary = _small(terms.select("term").distinct())
-    counts = docs_raw.select(F.explode("raw").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
-    counts = scratch.save(counts, "counts")
-    ranked = terms.join(counts, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("wid").orderBy(F.col("n").asc_nulls_first(), "off")))
-    chosen = ranked.filter("rank <= 2")
-    lost = ranked.filter("rank = 1 AND n IS NULL").select("wid")
-    out = chosen.join(lost, "wid", "left_anti").withColumn("need", F.when(F.count("*").over(Window.partitionBy("wid")) == 2, 3).otherwise(1))
-    out = scratch.save(out.select("term", "wid", "off", F.col("rank").alias("bit"), "need"), "rarest")
-    scratch.drop(terms, counts)
+    vocabulary = scratch.save(terms.select("term").distinct(), "vocabulary")
+    known = _small(vocabulary)
+    words = docs_raw.select(F.explode("raw").alias("term"))
+    if known is not vocabulary:  # broadcast: words of no window go before they are counted
+        words = words.join(known, "term")
+    counts = scratch.save(words.groupBy("term").agg(F.count("*").alias("n")).join(known, "term", "left_semi"), "counts")
+    ranked = terms.join(counts, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("wid").orderBy(F.col("n").asc_nulls_last(), "off")))
+    ranked = ranked.withColumn("bit", F.when(F.col("rank") <= RAREST, F.expr("shiftleft(1, rank - 1)")).otherwise(0))
+    of_window = Window.partitionBy("wid")
+    lost = F.count("n").over(of_window) < F.count("*").over(of_window)
+    ranked = ranked.withColumn("need", F.when(lost, 0).otherwise(F.sum("bit").over(of_window)).cast("int"))
+    out = scratch.save(ranked.filter("bit > 0 AND n IS NOT NULL").select("term", "wid", "off", "bit", "need"), "rarest")
+    scratch.drop(terms, vocabulary, counts)
     return out
 
 
@@ -80,12 +89,12 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Returns two tables. The first has a row per row of ``docs``: rid and text_key (its key, made of
     id and text), n_words, hits (start, len, wid of each occurrence of a window), near (windows
-    whose two rarest terms stand in order within ``slack`` words of their places without an exact
-    occurrence of both) and the input columns in ``keep``. The second names the items of a window.
+    without an exact occurrence of which two of the rarest terms stand within ``slack`` words of
+    their places) and the input columns in ``keep``. The second names the items of a window.
 
-    The index has postings of the terms that are among the two rarest of some window; of each
-    window the lists of both are shifted by the terms' offsets and intersected, and what is left
-    is verified word by word on the text. Postings are keyed by document, so a term, passage or
+    The index has postings of the terms that are among the rarest of some window; of each window
+    these lists are shifted by the terms' offsets and intersected, and what is left is verified
+    word by word on the text. Postings are keyed by document, so a term, passage or
     source with very many documents spreads over all tasks.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
@@ -93,16 +102,17 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     raw = docs.select(*key, split_words(F.col(f"`{text_col}`")).alias("raw"))
     windows, items = benchmark_windows(benchmark, scratch, width, item_col, bench_text_col)
     rarest = rarest_terms(raw, windows, scratch)
-    terms = _small(rarest.select("term").distinct())
+    terms = _small(scratch.save(rarest.select("term").distinct(), "rare"))
     postings = raw.select("rid", "text_key", leading(F.col("raw")).alias("lead"), F.posexplode("raw").alias("pos", "term")).join(terms, "term")
     postings = scratch.save(postings.select("rid", "text_key", "term", (F.col("pos") - F.col("lead")).alias("pos")), "postings")
     shifted = postings.join(_small(rarest), "term").select("rid", "text_key", "wid", "need", (F.col("pos") - F.col("off")).alias("start"), "bit")
     starts = shifted.filter(F.col("start") >= -slack).groupBy("rid", "text_key", "wid", "need", "start").agg(F.bit_or("bit").alias("bits"))
     of_window = Window.partitionBy("rid", "text_key", "wid").orderBy("start")
     apart = (F.col("start") - F.lag("start").over(of_window) <= slack) & (F.col("bits") != F.lag("bits").over(of_window))
-    told = starts.withColumn("near", (F.col("bits") != F.col("need")) & F.coalesce(apart, F.lit(False))).filter("near OR (bits = need AND start >= 0)")
-    told = told.join(_small(windows), "wid").select("rid", "text_key", "wid", "near", F.struct("start", "len", "wid", "phrase").alias("at"))
-    found = told.groupBy("rid", "text_key").agg(F.collect_set(F.when(~F.col("near"), F.col("at"))).alias("places"), F.collect_set(F.when(F.col("near"), F.col("wid"))).alias("close"))
+    several = F.bit_count("bits") > 1
+    told = starts.withColumn("near", several | F.coalesce(apart, F.lit(False))).withColumn("whole", (F.col("bits") == F.col("need")) & (F.col("start") >= 0)).filter("near OR whole")
+    told = told.join(_small(windows), "wid").select("rid", "text_key", "wid", "near", "whole", F.struct("start", "len", "wid", "phrase").alias("at"))
+    found = told.groupBy("rid", "text_key").agg(F.collect_set(F.when(F.col("whole"), F.col("at"))).alias("places"), F.collect_set(F.when(F.col("near"), F.col("wid"))).alias("close"))
     found = scratch.save(found, "found")
     base = docs.select(*key, F.col(f"`{text_col}`").alias("__text"), *(F.col(f"`{c}`") for c in keep or []))
     # the texts are shuffled however few matches there are, so the plan is the same at every size
@@ -130,7 +140,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     of 13 words or more has all its windows of 13 consecutive words, a shorter one is one window,
     one without words has none. n_hit counts words inside any occurrence of a window, n_items the
     items with occurring windows (items without an id count for hits, not here), n_near the
-    windows with a proximity match only.
+    windows with a proximity match only (see ``find_matches``).
 
     Null texts have no words on either side. Null ids stay null; equal rows get equal results;
     empty tables give no matches; other columns are ignored, whatever their names.

@@ -20,13 +20,12 @@ named AS (SELECT rn, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_
 terms AS (SELECT phrase, unnest(string_split(phrase, ' ')) AS term, unnest(range(0, n)) AS off FROM win),
 tokens AS (SELECT rn, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d),
 counts AS (SELECT term, count(*) AS c FROM tokens SEMI JOIN terms USING (term) GROUP BY term),
-ranked AS (SELECT t.*, c, row_number() OVER (PARTITION BY phrase ORDER BY c NULLS FIRST, off) AS rk FROM terms t LEFT JOIN counts USING (term)),
-two AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY phrase) = 2 THEN 3 ELSE 1 END AS need
-  FROM ranked WHERE rk <= 2 AND phrase NOT IN (SELECT phrase FROM ranked WHERE c IS NULL)),
-starts AS (SELECT rn, phrase, need, pos - off AS start, bit_or(rk) AS bits FROM tokens JOIN two USING (term) WHERE pos - off >= -3 GROUP BY ALL),
+ranked AS (SELECT t.*, c, row_number() OVER (PARTITION BY phrase ORDER BY c NULLS LAST, off) AS rk FROM terms t LEFT JOIN counts USING (term)),
+rare AS (SELECT phrase, off, term, 1::BIGINT << (rk - 1) AS b FROM ranked WHERE rk <= 3 AND c IS NOT NULL),
+starts AS (SELECT rn, phrase, pos - off AS start, bit_or(b) AS bits FROM tokens JOIN rare USING (term) WHERE pos - off >= -3 GROUP BY ALL),
 steps AS (SELECT *, start - lag(start) OVER o AS apart, lag(bits) OVER o AS other FROM starts WINDOW o AS (PARTITION BY rn, phrase ORDER BY start)),
 near AS (SELECT rn, count(DISTINCT phrase) AS n_near FROM steps ANTI JOIN hits USING (rn, phrase)
-  WHERE bits <> need AND apart <= 3 AND bits <> other GROUP BY rn)
+  WHERE bit_count(bits) > 1 OR (apart <= 3 AND bits <> other) GROUP BY rn)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
   coalesce(n_near, 0)::BIGINT AS n_near

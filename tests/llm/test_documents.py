@@ -426,8 +426,23 @@ def test_contamination_of_empty_tables_and_near_matches(spark, docs):
     assert decontaminate.contamination_report(docs, empty).agg({"n_hit": "sum"}).first()[0] == 0
     assert decontaminate.contamination_report(docs.limit(0), empty).count() == 0
     bench = spark.createDataFrame([(1, "alpha one two three omega")], "item_id bigint, text string")
-    near = frame(spark, [(1, "so alpha one two extra three omega", "en"), (2, "one one two two three three", "en"), (3, "alpha one two three omega", "en")])
-    assert {r.doc_id: (r.n_hit, r.n_near) for r in decontaminate.contamination_report(near, bench).collect()}[3] == (5, 0)
+    rows = [(1, "so alpha one two extra three omega", "en"), (2, "one one one one", "en"), (3, "alpha one two three omega", "en"), (4, "alpha one two other omega", "en"), (5, "alpha and then very many other words before omega", "en")]
+    found = {r.doc_id: (r.n_hit, r.n_near) for r in decontaminate.contamination_report(frame(spark, rows), bench).collect()}
+    assert found == {1: (0, 1), 2: (0, 0), 3: (5, 0), 4: (0, 1), 5: (0, 0)}
+    never = spark.createDataFrame([(1, "alpha one two lost omega")], "item_id bigint, text string")
+    found = {r.doc_id: (r.n_hit, r.n_near) for r in decontaminate.contamination_report(frame(spark, rows), never).collect()}
+    assert found[3] == (0, 1) and found[2] == (0, 0)
+
+
+def test_large_benchmark_tables_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(["the", "of", "a1", "b2", "É", "so"]) for _ in range(n))
+    bench = [(i, text(rng.randint(1, 20))) for i in range(6)]
+    docs = [(i, text(rng.randint(0, 60)) + (bench[i][1] if i < 6 else "")) for i in range(12)] + [(20, "long " * 30_000 + bench[0][1])]
+    table = spark.createDataFrame(bench, "item_id bigint, text string")
+    found = decontaminate.contamination_report(frame(spark, [(i, t, "en") for i, t in docs]), table)
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found.collect()) == plain_contamination(docs, bench)
 
 
 # -- token store ----------------------------------------------------------------------------------
