@@ -9,8 +9,14 @@ KIB, MIB = 1 << 10, 1 << 20
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """Sizes in bytes, times in milliseconds. Sizes steer output files and compaction; sync modes are accepted
-    for compatibility, a commit is durable as soon as its manifest file exists."""
+    """Sizes in bytes, times in milliseconds.
+
+    ``target_file_bytes`` sets the files of a run, ``memtable_bytes`` the mutations that a buffered
+    writer holds before it commits, ``max_immutable`` the commits of level 0 (in multiples of
+    ``l0_files``) at which writers compact before they go on, ``cache_bytes`` and ``cache_shards`` the
+    run cache, ``wal_segment_bytes`` the log's segments and ``compaction_interval_ms`` a scheduler's
+    pause. Sync modes are accepted for compatibility: a commit is durable once its manifest file exists.
+    """
 
     memtable_bytes: int = 64 * MIB
     cache_bytes: int = 256 * MIB
@@ -49,11 +55,16 @@ class EngineConfig:
     def with_(self, **changes) -> EngineConfig:
         return replace(self, **changes)
 
+    def spark_read_options(self) -> dict[str, str]:
+        """Whether page checksums are held against the pages."""
+        return {"parquet.page.verify-checksum.enabled": str(self.verify_checksums).lower()}
+
     def spark_write_options(self) -> dict[str, str]:
-        """Parquet options that stand for block size and bloom filters on the key."""
+        """Parquet options that stand for block size and bloom filters on the key, sized by the keys of the file."""
         return {
             "parquet.bloom.filter.enabled#key": "true",
             "parquet.bloom.filter.fpp#key": str(self.bloom_fpp),
+            "parquet.bloom.filter.adaptive.enabled": "true",
             "parquet.page.size": str(max(self.block_bytes, 64 * KIB)),
             "parquet.page.write-checksum.enabled": str(self.verify_checksums).lower(),
         }

@@ -51,12 +51,6 @@ def bloom_fpr(n: Column, bits: int, hashes: int) -> Column:
     return F.pow(1 - F.exp(-hashes * n / F.lit(float(bits))), F.lit(hashes))
 
 
-def record_crc(*columns: Column) -> Column:
-    """CRC-32 of a record's columns as text; nulls and empty strings differ."""
-    parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in columns]
-    return F.crc32(F.concat_ws("\x1f", *parts).cast("binary"))
-
-
 def in_range(key: Column, start=None, end=None) -> Column:
     """start <= key < end; None leaves a side open."""
     sides = ([key >= F.lit(start)] if start is not None else []) + ([key < F.lit(end)] if end is not None else [])

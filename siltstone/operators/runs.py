@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions.keys import bloom_fpr, bloom_positions, entry_size
+from siltstone.scratch import Scratch
 
 
 def assign_runs(log: DataFrame, rows_per_run: int) -> DataFrame:
@@ -15,6 +18,28 @@ def assign_runs(log: DataFrame, rows_per_run: int) -> DataFrame:
     return log.withColumn("run_id", run).withColumn("level", F.lit(0)).withColumn("file_id", F.concat(F.lit("L0-"), F.col("run_id").cast("string")))
 
 
+def rotate_by_bytes(sized: DataFrame, memtable_bytes: int) -> DataFrame:
+    """Adds run_id: a run ends with the entry by which the bytes of all entries so far (est_bytes, in the order
+    of seq) pass a multiple of ``memtable_bytes``.
+
+    Running sums over ranges of seq, offset by the sums of earlier ranges; only those reach the driver.
+    A store that starts counting anew at each rotation makes runs longer by the last entry's overshoot.
+    """
+    scratch = Scratch(sized.sparkSession, "rotation")
+    dealt = scratch.save(sized.repartitionByRange("seq").withColumn("__part", F.spark_partition_id()), "dealt")
+    totals = sorted(tuple(r) for r in dealt.groupBy("__part").agg(F.sum("est_bytes")).collect())
+    before = [(part, end - n) for (part, n), end in zip(totals, accumulate(n for _, n in totals), strict=True)]
+    offsets = sized.sparkSession.createDataFrame(before, "__part int, __before bigint")
+    so_far = Window.partitionBy("__part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.col("__before") + F.coalesce(F.sum("est_bytes").over(so_far), F.lit(0))
+    return dealt.join(F.broadcast(offsets), "__part").withColumn("run_id", F.floor(earlier / memtable_bytes).cast("bigint")).drop("__part", "__before")
+
+
+def sorted_runs(runs: DataFrame) -> DataFrame:
+    """Adds the position (from 1) of each row in its run, by key and falling seq. A run is one task's rows."""
+    return runs.withColumn("pos", F.row_number().over(Window.partitionBy("file_id").orderBy("key", F.desc("seq"))).cast("bigint"))
+
+
 def with_sizes(log: DataFrame, key_bytes: int | None = None, value_bytes: int | None = None) -> DataFrame:
     """Adds est_bytes. Fixed widths may be given; else byte lengths are measured."""
     key = key_bytes if key_bytes is not None else F.octet_length("key")
