@@ -1,4 +1,7 @@
-"""Write-ahead logs as tables (segment, pos, rtype, key, value, seq, bad): batches, replay, retention."""
+"""Write-ahead logs as tables (segment, pos, rtype, key, value, seq, bad): batches, replay, retention.
+
+Positions grow from segment to segment; a segment is one file of bounded size.
+"""
 
 from __future__ import annotations
 
@@ -9,36 +12,27 @@ from pyspark.sql.window import Window
 from siltstone.errors import CorruptionError
 
 START, END = "BATCH_START", "BATCH_END"
-#: Positions that one bucket of the interval join spans.
-BUCKET = 1 << 14
-
-
-def open_batches(wal: DataFrame) -> DataFrame:
-    """(low, high): stretches of positions whose records belong to a batch that never ends.
-
-    A batch is lost if the next marker after its start is another start or none. Only markers are
-    ordered as a whole; records are not touched.
-    """
-    marks = wal.filter(F.col("rtype").isin(START, END)).select("pos", "rtype")
-    order = Window.orderBy("pos")
-    paired = marks.withColumn("next_type", F.lead("rtype").over(order)).withColumn("next_pos", F.lead("pos").over(order))
-    lost = paired.filter((F.col("rtype") == START) & (F.col("next_type").isNull() | (F.col("next_type") == START)))
-    return lost.select(F.col("pos").alias("low"), "next_pos")
 
 
 def resolve_batches(wal: DataFrame) -> DataFrame:
     """Puts and deletes outside batches and in batches that end; a stray end does no harm.
 
-    Lost stretches are disjoint, so each is cut into buckets of positions and met by equal bucket;
-    the one that never closes is a single number.
+    A record is lost if the last marker before it is a start and the next one behind it is not an
+    end. Both are looked up among the frames of its own segment; where that has none on a side, the
+    nearest marker of other segments counts, which comes from a row per segment. So a task holds one
+    segment's frames, and a batch may span any number of segments.
     """
-    lost = open_batches(wal)
-    tail = lost.filter("next_pos IS NULL").agg(F.min("low").alias("tail"))
-    pieces = lost.filter("next_pos IS NOT NULL").select("low", "next_pos", F.explode(F.sequence(F.floor(F.col("low") / BUCKET), F.floor(F.col("next_pos") / BUCKET))).alias("bucket"))
-    records = wal.filter(F.col("rtype").isin("PUT", "DELETE")).withColumn("bucket", F.floor(F.col("pos") / BUCKET))
-    inside = (records.bucket == pieces.bucket) & (records.pos > pieces.low) & (records.pos < pieces.next_pos)
-    kept = records.join(pieces, inside, "left_anti").drop("bucket")
-    return kept.crossJoin(F.broadcast(tail)).filter("tail IS NULL OR pos < tail").drop("tail")
+    mark = F.when(F.col("rtype").isin(START, END), F.col("rtype"))
+    marks = F.when(mark.isNotNull(), F.col("pos"))
+    ends = wal.groupBy("segment").agg(F.min("pos").alias("low"), F.min_by("rtype", marks).alias("first_mark"), F.max_by("rtype", marks).alias("last_mark"))
+    # what comes is what came before in descending order: a frame up to the end would be read anew for every row
+    nearest = lambda c, of, order: F.last(c, ignorenulls=True).over(of.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    a_row_per_segment, own = Window.partitionBy(F.lit(0)), Window.partitionBy("segment")
+    around = ends.select("segment", nearest("last_mark", a_row_per_segment, F.asc("low")).alias("carried"), nearest("first_mark", a_row_per_segment, F.desc("low")).alias("coming"))
+    frames = wal.withColumn("__before", nearest(mark, own, F.asc("pos"))).withColumn("__after", nearest(mark, own, F.desc("pos")))
+    frames = frames.filter(F.col("rtype").isin("PUT", "DELETE")).join(around, "segment", "left")
+    before, after = F.coalesce("__before", "carried"), F.coalesce("__after", "coming")
+    return frames.filter(before.isNull() | (before == END) | F.coalesce(after == END, F.lit(False))).drop("__before", "__after", "carried", "coming")
 
 
 def readable(wal: DataFrame) -> DataFrame:
@@ -66,9 +60,14 @@ def bad_frames(wal: DataFrame) -> DataFrame:
     return wal.agg(F.count_if("bad").alias("bad_frames"))
 
 
+def bad_frames_by_segment(wal: DataFrame) -> DataFrame:
+    """(segment, bad, good) per segment."""
+    return wal.groupBy("segment").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+
+
 def segments(wal: DataFrame) -> DataFrame:
     """(segment, min_seq, max_seq, records) per segment."""
-    return wal.groupBy("segment").agg(F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.count("*").alias("records"))
+    return wal.groupBy("segment").agg(F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.count("seq").alias("records"))
 
 
 def unflushed_segments(wal: DataFrame, flushed: int) -> DataFrame:
