@@ -23,3 +23,7 @@ class RecoveryError(StoreError):
 
 class ClosedError(StoreError):
     """The table or snapshot has been closed."""
+
+
+class LockError(StoreError):
+    """Another process holds the table for itself."""

@@ -57,21 +57,17 @@ def collect_garbage(log: DataFrame, floor: int | None = None, drop_tombstones: b
 
     All versions above the floor stay, and of each key the newest at or below it; if that one is
     a tombstone and ``drop_tombstones`` holds, it goes too. Without a floor (no snapshot is pinned)
-    only the newest version of a key stays.
+    only the newest version of a key stays. Versions above the floor are not shuffled; of the others
+    one row per key and task is.
     """
-    floor = MAX_SEQ if floor is None else floor
-    old = F.col("seq") <= floor
-    rank = F.row_number().over(Window.partitionBy("key", "__old").orderBy(F.desc("seq")))
-    ranked = log.withColumn("__old", old).withColumn("__rank", F.when(F.col("__old"), rank).otherwise(0))
-    kept = ~F.col("__old") | (F.col("__rank") == 1)
-    if drop_tombstones:
-        kept = kept & ~(F.col("__old") & (F.col("op") == DELETE))
-    return ranked.filter(kept).drop("__old", "__rank")
+    if floor is None or floor >= MAX_SEQ:
+        return collect_all_garbage(log, drop_tombstones)
+    return log.filter(F.col("seq") > floor).unionByName(collect_all_garbage(log.filter(F.col("seq") <= floor), drop_tombstones))
 
 
 def collect_all_garbage(log: DataFrame, drop_tombstones: bool = False) -> DataFrame:
     """``collect_garbage`` with no snapshot pinned: one row per key and task crosses the shuffle."""
-    kept = newest(log)
+    kept = newest(log).select(*log.columns)
     return skip_tombstones(kept) if drop_tombstones else kept
 
 
