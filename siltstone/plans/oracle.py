@@ -10,6 +10,7 @@ SCORES = f"{FILES}, scores AS (SELECT level, CASE WHEN level = 0 THEN count(*) /
 PICK = f"{SCORES}, job AS (SELECT level, level + 1 AS target_level, score FROM scores WHERE score >= 1 AND level < 3 ORDER BY score DESC, level DESC LIMIT 1)"
 BLOCKS = f"{RUNS}, blocks AS (SELECT *, (dense_rank() OVER (PARTITION BY file_id ORDER BY key) - 1) // 16 AS block FROM runs)"
 SPOT = "((('0x' || substr(md5(key::VARCHAR), 1, 8))::UBIGINT::BIGINT + i * ('0x' || substr(md5(key::VARCHAR), 9, 8))::UBIGINT::BIGINT) % 1024)"
+PROBES = f"{RUNS}, own AS (SELECT DISTINCT run_id, key FROM runs), probes AS (SELECT 'L0-' || run_id::VARCHAR AS file_id, run_id, key FROM (SELECT * FROM own UNION SELECT run_id + 1, key FROM own WHERE run_id + 1 IN (SELECT run_id FROM own) UNION SELECT run_id, -key - 1 FROM own))"
 BIT = "CASE WHEN spot % 64 = 63 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (spot % 64)::INT END"
 BLOOM = f"{RUNS}, spots AS (SELECT DISTINCT file_id, {SPOT} AS spot FROM (SELECT DISTINCT file_id, key FROM runs), range(7) t(i)), bloom AS (SELECT file_id, spot // 64 AS word, bit_or({BIT}) AS bits FROM spots GROUP BY ALL)"
 WAL = f"""{KV}, wal AS (
@@ -56,8 +57,9 @@ MAX = "9223372036854775807"
 ORACLE_SQL: dict[str, str] = {
     "kv_latest_state": f"WITH {KV} {_visible()}",
     "kv_get_latest": f"WITH {KV} {_visible('key = 8', 'key, value')}",
+    "kv_get_live": f"WITH {KV} {_visible('key = 9', 'key, value')}",
     "kv_get_snapshot": f"WITH {KV} {_visible('key = 8 AND seq <= 5000', 'key, value')}",
-    "kv_multi_get": f"WITH {KV} {_visible('key % 7 = 0 AND key BETWEEN 0 AND 199', 'key, value')}",
+    "kv_multi_get": f"WITH {KV} {_visible("key IN (SELECT key FROM kv WHERE op = 'DELETE')", 'key, value')}",
     "kv_scan_range": f"WITH {KV} {_visible('key >= 20 AND key < 60', 'row_number() OVER (ORDER BY key) AS pos, key, value, seq')}",
     "kv_scan_snapshot": f"WITH {KV} {_visible('key >= 20 AND key < 60 AND seq <= 5000')}",
     "kv_scan_from": f"WITH {KV} {_visible('key >= 100')}",
@@ -81,16 +83,17 @@ ORACLE_SQL: dict[str, str] = {
     "kv_entry_size": f"WITH {RUNS} SELECT key, seq, est::BIGINT AS est_bytes FROM runs",
     "kv_flush_runs": f"WITH {RUNS} SELECT run_id, count(*) AS entries, sum(est)::BIGINT AS bytes FROM runs GROUP BY run_id",
     "kv_flush_l0_metadata": f"WITH {RUNS} SELECT file_id, level, min(key) AS min_key, max(key) AS max_key, count(*) AS entry_count, min(seq) AS min_seq, max(seq) AS max_seq FROM runs GROUP BY file_id, level",
-    "kv_flush_sorted_run": f"WITH {RUNS} SELECT row_number() OVER (ORDER BY key, seq DESC) AS pos, key, seq, op FROM runs WHERE run_id = 0",
+    "kv_flush_sorted_run": f"WITH {RUNS} SELECT file_id, row_number() OVER (PARTITION BY run_id ORDER BY key, seq DESC) AS pos, key, seq, op FROM runs",
+    "kv_memtable_rotation": f"WITH {RUNS} SELECT run_id, count(*) AS entries, sum(est)::BIGINT AS bytes, max(seq) AS max_seq FROM (SELECT seq, est, (coalesce(sum(est) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 30000)::BIGINT AS run_id FROM runs) GROUP BY run_id",
     "kv_merge_runs": f"WITH {KV} SELECT row_number() OVER (ORDER BY key, seq DESC) AS pos, key, seq, op FROM kv",
     "kv_pruned_lookup": f"WITH {RUNS}, t AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS rn FROM runs WHERE key = 8) SELECT file_id, key, value, seq FROM t WHERE rn = 1",
     "kv_files_for_key": f"WITH {FILES} SELECT file_id FROM files WHERE min_key <= 8 AND max_key >= 8",
-    "kv_overlapping_files": f"WITH {FILES} SELECT file_id FROM files WHERE max_key >= 20 AND min_key <= 60",
+    "kv_overlapping_files": f"WITH {FILES} SELECT file_id, min_key, max_key FROM files WHERE max_key >= 20 AND min_key <= 60",
     "kv_bloom_build": f"WITH {BLOOM} SELECT file_id, word, bits FROM bloom",
-    "kv_bloom_probe": f"WITH {RUNS}, held AS (SELECT DISTINCT {SPOT} AS spot FROM (SELECT DISTINCT key FROM runs WHERE run_id = 0), range(7) t(i)) SELECT key, bool_and({SPOT} IN (SELECT spot FROM held)) AS maybe, key IN (SELECT key FROM runs WHERE run_id = 0) AS present FROM range(400) k(key), range(7) t(i) GROUP BY key",
+    "kv_bloom_probe": f"WITH {PROBES}, held AS (SELECT DISTINCT file_id, {SPOT} AS spot FROM (SELECT DISTINCT file_id, key FROM runs), range(7) t(i)), asked AS (SELECT file_id, run_id, key, {SPOT} AS spot FROM probes, range(7) t(i)) SELECT a.file_id, a.key, bool_and(h.spot IS NOT NULL) AS maybe, bool_or(o.key IS NOT NULL) AS present FROM asked a LEFT JOIN held h ON a.file_id = h.file_id AND a.spot = h.spot LEFT JOIN own o ON a.run_id = o.run_id AND a.key = o.key GROUP BY a.file_id, a.key",
     "kv_bloom_fpr": f"WITH {RUNS} SELECT file_id, count(DISTINCT key) AS n, round(power(1 - exp(-7.0 * count(DISTINCT key) / 1024.0), 7), 9) AS fpr FROM runs GROUP BY file_id",
     "kv_sparse_index": f"WITH {BLOCKS} SELECT file_id, block, min(key) AS first_key, count(DISTINCT key) AS n FROM blocks GROUP BY file_id, block",
-    "kv_sparse_index_lookup": f"WITH {BLOCKS}, idx AS (SELECT block, min(key) AS first_key FROM blocks WHERE run_id = 0 GROUP BY block) SELECT k.key, coalesce((SELECT max(block) FROM idx WHERE first_key <= k.key), 0) AS block FROM range(-5, 400) k(key)",
+    "kv_sparse_index_lookup": f"WITH {BLOCKS}, {PROBES.removeprefix(RUNS + ', ')}, idx AS (SELECT file_id, block, min(key) AS first_key FROM blocks GROUP BY ALL) SELECT p.file_id, p.key, coalesce(max(i.block), 0) AS block FROM probes p LEFT JOIN idx i ON p.file_id = i.file_id AND i.first_key <= p.key GROUP BY ALL",
     "kv_block_layout": f"WITH {BLOCKS} SELECT file_id, block, count(DISTINCT key) AS keys, count(*) AS versions FROM blocks GROUP BY file_id, block",
     "kv_level_counts": f"WITH {FILES} SELECT level, count(*) AS files, sum(file_size)::BIGINT AS bytes FROM files GROUP BY level",
     "kv_compaction_scores": f"WITH {SCORES} SELECT level, score FROM scores",
@@ -103,7 +106,7 @@ ORACLE_SQL: dict[str, str] = {
     "kv_compact_drop_tombstones": _garbage("5000", True),
     "kv_compact_keep_tombstones": _garbage(MAX, False),
     "kv_compaction_stats": f"WITH {RUNS}, t AS ({TOP} runs) SELECT count(*) AS rows_in, count(*) FILTER (rn = 1) AS rows_out, sum(est)::BIGINT AS bytes_in, (sum(est) FILTER (rn = 1))::BIGINT AS bytes_out FROM t",
-    "kv_wal_read": f"WITH {WAL} SELECT segment, pos, rtype, key, seq FROM wal",
+    "kv_wal_read": f"WITH {WAL} SELECT segment, row_number() OVER (PARTITION BY segment ORDER BY pos) - 1 AS frame, rtype, key, seq FROM wal",
     "kv_wal_segments": f"WITH {WAL} SELECT segment, min(seq) AS min_seq, max(seq) AS max_seq, count(*) AS records FROM wal GROUP BY segment",
     "kv_wal_unflushed_segments": f"WITH {WAL} SELECT segment FROM wal GROUP BY segment HAVING max(seq) > 4050",
     "kv_wal_trim": f"WITH {WAL} SELECT segment FROM wal GROUP BY segment HAVING max(seq) <= 4050 AND segment < (SELECT max(segment) FROM wal)",
@@ -117,6 +120,7 @@ ORACLE_SQL: dict[str, str] = {
     "kv_flushed_sequence": f"WITH {KV} SELECT max(seq) AS flushed_seq FROM kv",
     "kv_missing_files": f"WITH {RUNS} SELECT DISTINCT file_id FROM runs WHERE run_id % 4 = 3",
     "kv_oldest_snapshot": f"SELECT coalesce(min(seq), {MAX}) AS oldest, sum(n)::BIGINT AS active FROM (SELECT seq, sum(n) AS n FROM (VALUES (3000, 1), (5000, 1), (5000, 1), (9000, 1), (3000, -1)) t(seq, n) GROUP BY seq) WHERE n > 0",
+    "kv_checksum_validate": f"WITH {WAL} SELECT segment, CASE WHEN segment % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS bad, count(*) - CASE WHEN segment % 4 = 0 THEN 1 ELSE 0 END AS good FROM wal GROUP BY segment",
     "kv_hit_ratio": f"WITH {KV} SELECT coalesce(round(100.0 * count(*) FILTER (op = 'PUT') / nullif(count(*), 0)), 0)::BIGINT AS ratio FROM kv",
     "kv_op_counters": f"WITH {KV} SELECT 'writes.total' AS metric, count(*) AS n FROM kv UNION ALL SELECT 'deletes.total', count(*) FILTER (op = 'DELETE') FROM kv",
     "kv_value_percentiles": f"WITH {KV} SELECT count(value) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, max(value) AS mx FROM kv",

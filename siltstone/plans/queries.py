@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.keys import record_crc
 from siltstone.operators import cache, compaction, manifest, metrics, mvcc, runs, wal
 from siltstone.operators.order import next_sequences, with_position
+from siltstone.scratch import Scratch
 from siltstone.sources import views
+from siltstone.sources.wal_files import SEGMENT_SPAN, read_wal, segment_files, write_wal
 
-KEY, SNAPSHOT = 8, 5000
+KEY, LIVE_KEY, SNAPSHOT = 8, 9, 5000
 LOW, HIGH, FROM, UNTIL = 20, 60, 100, 30
 PREFIX = "user:0000001"
 RUN_ROWS, KEYS_PER_BLOCK = 1000, 16
 BLOOM_BITS, BLOOM_HASHES = 1024, 7
 KEY_BYTES = VALUE_BYTES = 8
 L1_BYTES, MULTIPLIER, MAX_LEVELS = 32 << 10, 10, 4
-FLUSHED, BAD_POS = 4050, 27001
-RUN = "L0-0"
+FLUSHED, BAD_SEQ = 4050, 9000
+MEMTABLE_BYTES = 30_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,15 +47,24 @@ def files_of(spark: SparkSession, folder: str) -> DataFrame:
     return sized.groupBy("run_id", "file_id").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.sum("est_bytes").alias("file_size")).withColumn("level", F.pmod("run_id", F.lit(3)).cast("int"))
 
 
-def wal_of(spark: SparkSession, folder: str) -> DataFrame:
-    """A record per mutation and markers around the first hundred of every two hundred; one batch in seven stays open."""
+def wal_files(spark: SparkSession, folder: str) -> str:
+    """Segments on disk: a record per mutation and markers around the first hundred of every two hundred; one
+    batch in seven stays open. A segment holds 2,000 sequence numbers. The folder's place."""
     log, seq = log_of(spark, folder), F.col("seq")
-    segment = F.floor((seq - 1) / 2000).cast("bigint").alias("segment")
-    records = log.select(segment, (3 * seq + 1).alias("pos"), F.col("op").alias("rtype"), "key", "value", "seq")
-    none = [F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("double").alias("value"), "seq"]
-    start = log.filter(seq % 200 == 1).select(segment, (3 * seq).alias("pos"), F.lit(wal.START).alias("rtype"), *none)
-    end = log.filter((seq % 200 == 100) & (seq % 700 != 0)).select(segment, (3 * seq + 2).alias("pos"), F.lit(wal.END).alias("rtype"), *none)
-    return records.unionByName(start).unionByName(end).withColumn("bad", F.lit(False))
+    as_bytes = lambda c: F.col(c).cast("string").cast("binary").alias(c)
+    records = log.select(F.col("op").alias("rtype"), as_bytes("key"), as_bytes("value"), "seq")
+    marks = lambda which, kind: log.filter(which).select(F.lit(kind).alias("rtype"), "seq")
+    start, end = marks(seq % 200 == 1, wal.START), marks((seq % 200 == 100) & (seq % 700 != 0), wal.END)
+    place = Scratch(spark, "wal").path("segments")
+    write_wal(records.unionByName(start, allowMissingColumns=True).unionByName(end, allowMissingColumns=True), place, F.floor((seq - 1) / 2000))
+    return place
+
+
+def wal_of(spark: SparkSession, folder: str, place: str | None = None) -> DataFrame:
+    """The segments of ``wal_files`` as the data source reads them, numbered in their order."""
+    from_bytes = lambda c, kind: F.col(c).cast("string").cast(kind).alias(c)
+    segment = F.floor(F.col("pos") / SEGMENT_SPAN).alias("segment")
+    return read_wal(spark, place or wal_files(spark, folder)).select(segment, "pos", "frame", "rtype", from_bytes("key", "bigint"), from_bytes("value", "double"), "seq", "bad")
 
 
 def manifest_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,6 +96,11 @@ def kv_get_latest(spark, folder):
     return mvcc.get(log_of(spark, folder), KEY)
 
 
+@query
+def kv_get_live(spark, folder):
+    return mvcc.get(log_of(spark, folder), LIVE_KEY)
+
+
 @query
 def kv_get_snapshot(spark, folder):
     return mvcc.get(log_of(spark, folder), KEY, SNAPSHOT)
@@ -92,8 +108,10 @@ def kv_get_snapshot(spark, folder):
 
 @query
 def kv_multi_get(spark, folder):
-    keys = spark.range(0, 200, 7).select(F.col("id").alias("key"))
-    return mvcc.multi_get(log_of(spark, folder), keys)
+    """All keys that some error deleted at some time, and as many absent ones."""
+    log = log_of(spark, folder)
+    keys = log.filter(F.col("op") == mvcc.DELETE).select("key").distinct()
+    return mvcc.multi_get(log, keys.unionByName(keys.select((-F.col("key") - 1).alias("key"))))
 
 
 @query
@@ -226,10 +244,16 @@ def kv_flush_l0_metadata(spark, folder):
     return runs.run_statistics(runs_of(spark, folder))
 
 
+@query
+def kv_memtable_rotation(spark, folder):
+    """Runs that end where the bytes written pass multiples of a memtable's size."""
+    sized = runs.with_sizes(log_of(spark, folder), KEY_BYTES, VALUE_BYTES)
+    return runs.rotate_by_bytes(sized, MEMTABLE_BYTES).groupBy("run_id").agg(F.count("*").alias("entries"), F.sum("est_bytes").alias("bytes"), F.max("seq").alias("max_seq"))
+
+
 @query
 def kv_flush_sorted_run(spark, folder):
-    one = runs_of(spark, folder).filter(F.col("file_id") == RUN)
-    return with_position(one, "key", F.desc("seq")).select("pos", "key", "seq", "op")
+    return runs.sorted_runs(runs_of(spark, folder)).select("file_id", "pos", "key", "seq", "op")
 
 
 @query
@@ -254,7 +278,7 @@ def kv_files_for_key(spark, folder):
 
 @query
 def kv_overlapping_files(spark, folder):
-    return runs.overlapping(files_of(spark, folder), LOW, HIGH).select("file_id")
+    return runs.overlapping(files_of(spark, folder), LOW, HIGH).select("file_id", "min_key", "max_key")
 
 
 @query
@@ -262,13 +286,21 @@ def kv_bloom_build(spark, folder):
     return runs.bloom_words(runs_of(spark, folder), BLOOM_BITS, BLOOM_HASHES)
 
 
+def _probes(spark, folder):
+    """(file_id, key): each run is asked for its own keys, for those of the run before it, and for absent ones."""
+    found = runs_of(spark, folder).select("run_id", "key").distinct()
+    later = found.select((F.col("run_id") + 1).alias("run_id"), "key").join(found.select("run_id").distinct(), "run_id", "left_semi")
+    absent = found.select("run_id", (-F.col("key") - 1).alias("key"))
+    asked = found.unionByName(later).unionByName(absent).distinct()
+    return asked.select(F.concat(F.lit("L0-"), F.col("run_id").cast("string")).alias("file_id"), "key")
+
+
 @query
 def kv_bloom_probe(spark, folder):
-    found = runs_of(spark, folder).filter(F.col("file_id") == RUN)
-    keys = spark.range(0, 400).select(F.lit(RUN).alias("file_id"), F.col("id").alias("key"))
-    maybe = runs.bloom_probe(keys, runs.bloom_words(found, BLOOM_BITS, BLOOM_HASHES), BLOOM_BITS, BLOOM_HASHES)
-    there = found.select("key").distinct().withColumn("present", F.lit(True))
-    return maybe.join(there, "key", "left").select("key", "maybe", F.coalesce("present", F.lit(False)).alias("present"))
+    found = runs_of(spark, folder)
+    maybe = runs.bloom_probe(_probes(spark, folder), runs.bloom_words(found, BLOOM_BITS, BLOOM_HASHES), BLOOM_BITS, BLOOM_HASHES)
+    there = found.select("file_id", "key").distinct().withColumn("present", F.lit(True))
+    return maybe.join(there, ["file_id", "key"], "left").select("file_id", "key", "maybe", F.coalesce("present", F.lit(False)).alias("present"))
 
 
 @query
@@ -283,9 +315,8 @@ def kv_sparse_index(spark, folder):
 
 @query
 def kv_sparse_index_lookup(spark, folder):
-    index = runs.sparse_index(runs.with_blocks(runs_of(spark, folder).filter(F.col("file_id") == RUN), KEYS_PER_BLOCK))
-    keys = spark.range(-5, 400).select(F.lit(RUN).alias("file_id"), F.col("id").alias("key"))
-    return runs.floor_blocks(keys, index).select("key", "block")
+    index = runs.sparse_index(runs.with_blocks(runs_of(spark, folder), KEYS_PER_BLOCK))
+    return runs.floor_blocks(_probes(spark, folder), index).select("file_id", "key", "block")
 
 
 @query
@@ -356,7 +387,7 @@ def kv_compaction_stats(spark, folder):
 
 @query
 def kv_wal_read(spark, folder):
-    return wal_of(spark, folder).select("segment", "pos", "rtype", "key", "seq")
+    return wal_of(spark, folder).select("segment", "frame", "rtype", "key", "seq")
 
 
 @query
@@ -385,7 +416,7 @@ def kv_wal_batches(spark, folder):
 
 
 def _damaged(spark, folder):
-    return wal_of(spark, folder).withColumn("bad", F.col("pos") == BAD_POS)
+    return wal_of(spark, folder).withColumn("bad", (F.col("seq") == BAD_SEQ) & F.col("rtype").isin(mvcc.PUT, mvcc.DELETE))
 
 
 @query
@@ -435,9 +466,15 @@ def kv_oldest_snapshot(spark, folder):
 
 @query
 def kv_checksum_validate(spark, folder):
-    """Every thousandth stored checksum is off by one."""
-    stored = log_of(spark, folder).withColumn("crc", record_crc(F.col("key"), F.col("seq"), F.col("op"), F.col("value")) + F.when(F.col("seq") % 1000 == 7, 1).otherwise(0))
-    return stored.agg(F.count_if(F.col("crc") != record_crc(F.col("key"), F.col("seq"), F.col("op"), F.col("value"))).alias("bad"))
+    """Frames that fail their stored checksum in log segments of which every fourth had its last byte changed on disk."""
+    place = wal_files(spark, folder)
+    system, _ = fs.FileSystem.from_uri(place)
+    for path in segment_files(place)[::4]:
+        with system.open_input_stream(path, compression=None) as f:
+            data = f.read()
+        with system.open_output_stream(path, compression=None) as f:
+            f.write(data[:-1] + bytes([data[-1] ^ 1]))
+    return wal.bad_frames_by_segment(wal_of(spark, folder, place))
 
 
 @query
