@@ -1,9 +1,7 @@
-"""Helpers shared by the training-data operators: scratch tables and Arrow row blocks."""
+"""Helpers shared by the training-data operators: tables, document keys, scratch tables and Arrow row blocks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.scratch import Scratch, clear_scratch, shared_dir
+
+__all__ = ["BLOCK_CHARS", "KEY", "Scratch", "clear_scratch", "document_key", "row_blocks", "shared_dir", "table", "text_blocks"]
+
 #: Characters of text that a worker turns into arrays at a time.
 BLOCK_CHARS = 1 << 20
 
@@ -28,63 +30,6 @@ def document_key(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit((1 << 63) - 1)).alias("rid"), F.xxhash64(text).alias("text_key"), F.xxhash64(F.lit(1), text).alias("text_key2")]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary one is set.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-_roots: set[str] = set()
-
-
-class Scratch:
-    """Written tables that cut lineage. ``drop`` removes those that nothing reads any more.
-
-    Results read some of them lazily; ``clear_scratch`` removes what is left once results are stored.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self.n = 0
-        _roots.add(self.root)
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back; the table's place is in ``.scratch_path``."""
-        path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, *saved: DataFrame | str) -> None:
-        for one in saved:
-            _remove(self.spark, one if isinstance(one, str) else one.scratch_path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove all scratch tables and archives of this process; results that were not stored can no longer be read."""
-    while _roots:
-        _remove(spark, _roots.pop())
-
-
 def row_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches whose texts hold about ``limit`` bytes."""
     for batch in batches:

@@ -1,6 +1,7 @@
 """Operators on vectors, pages and conversations, and the pipeline, against plain versions."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -115,7 +116,7 @@ def test_one_very_long_payload_and_many_copies(spark):
 
 def test_roles_are_recovered(spark):
     talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
-    written = Scratch(spark, "t").save(transcripts.write_transcripts(talks.withColumn("part", F.lit("clash"))), "w")
+    written = Scratch(spark, "t").save(transcripts.write_transcripts(talks.withColumn("part", F.lit("clash")).withColumn("pos", F.lit(1))), "w")
     model = transcripts.fit(written)
     found = transcripts.parse_transcripts(written, model).join(written.select("conv_id", F.array_join("roles", ",").alias("truth"), "spaced"), "conv_id")
     marked = found.filter("spaced")
@@ -125,15 +126,49 @@ def test_roles_are_recovered(spark):
 def test_awkward_transcripts(spark):
     rows = [(1, 0, "user", "Hi?"), (1, 1, "assistant", "Yes.\n\nMore <|im_end|>"), (1, 1, "assistant", "Yes.\n\nMore <|im_end|>"), (2, None, None, None), (None, 0, "user", "x"), (3, 300, "system", ""), (3, 1, "user", "a")]
     written = transcripts.write_transcripts(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
-    assert sorted((str(r.conv_id), r.part) for r in written.select("conv_id", "part").collect()) == [("1", 0), ("2", 0), ("3", 0), ("3", 1), ("None", 0)]
+    assert sorted((str(r.conv_id), r.part, r.parts) for r in written.collect()) == [("1", 0, 1), ("2", 0, 1), ("3", 0, 1), ("None", 0, 1)]
     model = transcripts.fit(written)
-    assert transcripts.parse_transcripts(written, model).count() == 5
+    assert transcripts.parse_transcripts(written, model).count() == 4
     assert transcripts.parse_transcripts(written.limit(0), transcripts.fit(written.limit(0))).count() == 0
     assert transcripts.parse(None, model) == []
     text = "User: hi\nAssistant: yes\nstill\n\nmore\nUser: ok"
     known = transcripts.Hmm.from_counts(["assistant", "user"], {("start", 0, 2): 5, ("step", 2, 0): 5, ("step", 0, 1): 3, ("step", 1, 2): 3, ("step", 1, 1): 3, ("f0", 2, 0): 9, ("f0", 0, 1): 9, ("f0", 1, 4): 9, ("f0", 3, 4): 9})
     assert transcripts.parse(text, known) == [("user", "hi"), ("assistant", "yes\nstill\n\nmore"), ("user", "ok")]
-    assert transcripts.render([("user", "a<|b")]) == "<|im_start|>user\na< |b<|im_end|>\n"
+    assert whole(known, "User: a<|b\n\nAssistant: c\n\n\nd\n\n") == ("<|im_start|>user\na< |b<|im_end|>\n<|im_start|>assistant\nc\n\n\nd<|im_end|>\n", ["user", "assistant"])
+
+
+def whole(model, text):
+    """Canonical turns and roles of a transcript in one piece, from its parsed turns."""
+    turns = transcripts.parse(text, model)
+    return "".join(f"<|im_start|>{role}\n{body.replace('<|', '< |')}<|im_end|>\n" for role, body in turns), [role for role, _ in turns]
+
+
+@pytest.mark.parametrize(("turns", "group"), [(3, 2), (7, 4), (1, 3)])
+def test_parts_are_parsed_as_one_transcript(spark, monkeypatch, turns, group):
+    monkeypatch.setattr(transcripts, "PART_TURNS", turns)
+    monkeypatch.setattr(transcripts, "GROUP", group)
+    rng = random.Random(turns)
+    bodies = ["Hi?", "yes", "more\nlines here", "", "a\n\nb\n", "\n", "Q: odd", "what <|is|> this?", None]
+    rows = [(conv, turn if (conv or 1) % 3 else (None if turn % 2 else 4), rng.choice(["user", "assistant", "system", None]), rng.choice(bodies) and f"{rng.choice(bodies) or ''} {turn}") for conv in (1, 2, 3, 4, 5, 6, 7, 8, None) for turn in range(rng.choice([1, 5, 40]))]
+    rows += [(9, i, "user", "") for i in range(30)] + [(10, i, "user", "" if i % 9 else "only this?") for i in range(30)]
+    written = Scratch(spark, "t").save(transcripts.write_transcripts(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")), "w")
+    model = transcripts.fit(written)
+    found, text = {}, {}
+    for r in written.orderBy("conv_id", "part").collect():
+        assert len(r.roles) <= turns
+        text[r.conv_id] = text.get(r.conv_id, "") + r.transcript
+    assert written.agg(F.max("parts")).first()[0] > group
+    for r in transcripts.parse_transcripts(written, model).orderBy("conv_id", "part").collect():
+        shown, roles, n = found.get(r.conv_id, ("", [], 0))
+        found[r.conv_id] = (shown + r.rendered, roles + (r.roles.split(",") if r.roles else []), n + r.n_turns)
+        assert r.rendered_sha256 == hashlib.sha256(r.rendered.encode()).hexdigest()
+    assert found.keys() == text.keys()
+    for conv, (shown, roles, n) in found.items():
+        want = whole(model, text[conv])
+        # of equally likely paths parts may take another, so the scores are compared where the turns differ
+        if (shown, roles) != want:
+            raise AssertionError(f"{conv}: {shown!r} {want[0]!r}")
+        assert n == len(roles)
 
 
 def test_viterbi_is_exact():
