@@ -233,7 +233,12 @@ MIN_SHARE = 0.3
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_share: float = MIN_SHARE) -> DataFrame:
-    """``docs`` without the rows whose language is undetermined or spread too thin; all columns stay."""
+    """``docs`` without the rows whose language is undetermined or spread too thin; all columns stay.
+
+    Null and empty texts and those without a letter go; so does everything where no labelled row
+    teaches a language. Rows are judged by their text alone, so repeated rows and null ids are no
+    exception; an empty table stays empty.
+    """
     place = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     named = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in place.items()))
     model = fit(named, place[id_col], place[text_col], place[lang_col])

@@ -34,11 +34,12 @@ def ranked(groups: DataFrame, *key: str) -> DataFrame:
 
 
 def prefix_ranks(positions: DataFrame, longest: int, scratch: Scratch) -> list[DataFrame]:
-    """Suffix order by the first 1, 2, 4, ... lines, up to ``longest``: for each length (g, r, left).
+    """The inverse suffix array by the first 1, 2, 4, ... lines, up to ``longest``: for each length (g, r, left).
 
     positions: place g, rank r of its line among repeated lines, and the repeated lines ``left``
     from here to the end of their stretch. Each round pairs the ranks of both halves of a prefix
-    and ranks the pairs; a suffix whose prefix is unique is settled and goes.
+    and ranks the pairs in one sort of the distinct ones, so ranks grow with suffix order; a suffix
+    whose prefix is unique is settled and goes.
     """
     levels = [positions]
     while 1 << len(levels) <= longest:
@@ -53,6 +54,24 @@ def prefix_ranks(positions: DataFrame, longest: int, scratch: Scratch) -> list[D
     return levels
 
 
+def lcp_intervals(wanted: DataFrame, levels: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(begin, g, n, r, r2) of (begin, g, n): the LCP interval of depth n that the suffix at g lies in, named (n, r, r2).
+
+    An LCP interval of depth n holds the suffixes whose common prefix has n lines or more, which are
+    neighbours in suffix order. With 2**k the largest power up to n, these are the suffixes that agree
+    in the ranks of the first and of the last 2**k of those lines, as both together cover them; so an
+    interval is a key, and its members need not be brought to one place to be compared.
+    """
+    level = sum([F.when(F.col("n") >= 1 << k, 1).otherwise(0) for k in range(1, len(levels))], F.lit(0))
+    sought = wanted.withColumn("level", level.cast("int"))
+    ranks = levels[0].select("g", "r", F.lit(0).alias("level"))
+    for k, one in enumerate(levels[1:], 1):
+        ranks = ranks.unionByName(one.select("g", "r", F.lit(k).alias("level")))
+    tail = ranks.select(F.col("g").alias("tail"), F.col("r").alias("r2"), "level")
+    found = sought.join(ranks, ["g", "level"]).withColumn("tail", F.expr("g + n - shiftleft(1, level)")).join(tail, ["tail", "level"])
+    return scratch.save(found.select("begin", "g", "n", "r", "r2"), "found")
+
+
 def shortest_units(units: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(begin, g, n) twice: the shortest n lines with min_words words that start at g, and those that end where
     some line does (g is their first).
@@ -80,9 +99,9 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
 
     All lines of all documents, in the order of their ids, form one sequence of line IDs. A run
     of lines with min_words words or more that also occurs earlier in the sequence is a copy. Every
-    such run is the union of its shortest qualifying parts that start or end at some line, so
-    these parts (units) are looked up: a unit's equal prefixes are the suffixes between two ranks,
-    found by the ranks of its first and last 2**k lines; all but the smallest place are copies.
+    such run is the union of its shortest qualifying parts that start or end at some line (units).
+    The LCP interval of a unit's depth holds all places where it stands; all but the smallest are
+    copies, and overlapping copies together are the maximal runs that go.
     """
     lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
     rows = docs.filter(F.col(f"`{text_col}`").isNotNull()).select(*document_key(id_col, text_col), lines.alias("lines"))
@@ -108,17 +127,9 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     longest = wanted.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     levels = prefix_ranks(units.select("g", "r", "left"), longest, scratch)
 
-    level = sum([F.when(F.col("n") >= 1 << k, 1).otherwise(0) for k in range(1, len(levels))], F.lit(0))
-    sought = wanted.withColumn("level", level.cast("int"))
-    ranks = levels[0].select("g", "r", F.lit(0).alias("level"))
-    for k, one in enumerate(levels[1:], 1):
-        ranks = ranks.unionByName(one.select("g", "r", F.lit(k).alias("level")))
-    tail = ranks.select(F.col("g").alias("tail"), F.col("r").alias("r2"), "level")
-    found = sought.join(ranks, ["g", "level"]).withColumn("tail", F.expr("g + n - shiftleft(1, level)")).join(tail, ["tail", "level"])
-    found = scratch.save(found.select("begin", "g", "n", "r", "r2"), "found")
-    first = found.groupBy("n", "r", "r2").agg(F.min("g").alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    found = lcp_intervals(wanted, levels, scratch)
+    first = scratch.save(found.groupBy("n", "r", "r2").agg(F.min("g").alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times"), "first")
     # as a written table both sides of the next join are shuffled for it, and a run with very many copies is split
-    first = scratch.save(first, "first")
     # where a copy overlaps the first occurrence, that one stays whole
     copies = found.join(first, ["n", "r", "r2"]).filter("g > first").select("begin", F.expr("greatest(g, first + n) - begin").alias("from"), F.expr("g + n - begin").alias("end"))
     in_order = Window.partitionBy("begin").orderBy("from", "end")
@@ -172,7 +183,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", **options) -> DataFrame:
     """``docs`` with later copies of repeated runs cut from the text; rows of which no line is left go.
 
-    All columns stay; ``size_col``, where there is one, is the new text's length in changed rows.
+    Rows are judged as in ``dedup_lines``: null texts and empty ones stay as they are, rows with a null
+    id come last, and rows equal in id and text are one document, which keeps its own first copies in
+    all of them. An empty table stays empty. All columns stay, whatever their names; ``size_col``, where there is one, is the new text's length in changed rows.
     """
     done = _dedup(docs, id_col, text_col, **options).filter("runs IS NULL OR size(kept) > 0").withColumn("__new", F.array_join("kept", "\n"))
     out = []
