@@ -20,8 +20,6 @@ TRAIN_DOCS = 2000
 ROUNDS, REFIT_ROUNDS = 6, 2
 #: A further language must gain this many times log(words)/2 of log-likelihood.
 PENALTY = 6.0
-#: Sets of up to so many languages are compared.
-MAX_SET = 4
 UNDETERMINED = "und"
 
 SCHEMA = T.StructType([
@@ -91,15 +89,16 @@ def infer(ll: np.ndarray, begin: np.ndarray, penalty: float = PENALTY) -> np.nda
     """Language proportions of each document.
 
     ll: words by languages, the documents' words one after another, ``begin`` the first word of
-    each (no document without a word). EM estimates the proportions with all languages; nested
-    sets of the heaviest ones are refitted, and the set with the largest penalised likelihood stays.
+    each (no document without a word). EM estimates the proportions with all languages. Sets of the
+    heaviest one, two, ... languages are refitted for as long as each further one raises the
+    penalised likelihood; a document stops on its own, at whatever number.
     """
     n, langs = len(begin), ll.shape[1]
     words = np.diff(np.append(begin, len(ll)))
-    doc = np.repeat(np.arange(n), words)
     top = ll.max(1)
     like = np.exp(ll - top[:, None])
     base = np.add.reduceat(top.astype(np.float64), begin)
+    doc = np.repeat(np.arange(n), words)
 
     def rounds(pi: np.ndarray, times: int) -> np.ndarray:
         for _ in range(times):
@@ -115,14 +114,19 @@ def infer(ll: np.ndarray, begin: np.ndarray, penalty: float = PENALTY) -> np.nda
     alone = np.add.reduceat(ll.astype(np.float64), begin, axis=0)
     best = np.zeros((n, langs), np.float32)
     best[np.arange(n), alone.argmax(1)] = 1
-    value = alone.max(1)
-    for k in range(2, min(langs, MAX_SET) + 1):
-        pi = np.where(rank < k, np.maximum(full, np.float32(1e-6)), np.float32(0))
+    value, grows = alone.max(1), np.arange(n)
+    for k in range(2, langs + 1):
+        pi = np.where(rank[grows] < k, np.maximum(full[grows], np.float32(1e-6)), np.float32(0))
         pi = rounds(pi / pi.sum(1, keepdims=True), REFIT_ROUNDS if k < langs else 1)
         mixed = np.log(np.maximum((like * pi[doc]).sum(1), np.float32(1e-30))).astype(np.float64)
-        got = base + np.add.reduceat(mixed, begin) - (k - 1) * cost
-        better = got > value
-        best[better], value[better] = pi[better], got[better]
+        got = base[grows] + np.add.reduceat(mixed, begin) - (k - 1) * cost[grows]
+        better = got > value[grows]
+        best[grows[better]], value[grows[better]] = pi[better], got[better]
+        if not better.any():
+            break
+        # words of the documents that grow
+        like, grows, words = like[better[doc]], grows[better], words[better]
+        doc, begin = np.repeat(np.arange(len(grows)), words), np.cumsum(words) - words
     return best
 
 

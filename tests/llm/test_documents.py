@@ -93,6 +93,48 @@ def test_mixtures_and_held_out_accuracy(spark):
     assert abs(mixed[names.index("de")] - 0.5) < 0.15 and abs(mixed[names.index("en")] - 0.5) < 0.15
 
 
+def plain_inference(ll):
+    """One document's proportions, word by word: nested sets grow while the penalised likelihood does."""
+    words, langs = ll.shape
+    like = np.exp(ll.astype(np.float64) - ll.max(1, keepdims=True))
+
+    def rounds(pi, times):
+        for _ in range(times):
+            total = np.zeros(langs)
+            for row in like:
+                total += row * pi / max((row * pi).sum(), 1e-30)
+            pi = total / words
+        return pi
+
+    full = rounds(np.full(langs, 1 / langs), language_id.ROUNDS)
+    heaviest = sorted(range(langs), key=lambda i: (-full[i], i))
+    value, best = max((ll[:, i].sum(dtype=np.float64), -i) for i in range(langs)), None
+    best = np.eye(langs)[-value[1]]
+    value = value[0]
+    for k in range(2, langs + 1):
+        pi = np.array([max(full[i], 1e-6) if i in heaviest[:k] else 0 for i in range(langs)])
+        pi = rounds(pi / pi.sum(), language_id.REFIT_ROUNDS if k < langs else 1)
+        got = sum(m + np.log(max((row * pi).sum(), 1e-30)) for m, row in zip(ll.max(1).astype(np.float64), like, strict=True)) - (k - 1) * language_id.PENALTY * np.log(words + 1) / 2
+        if got <= value:
+            break
+        value, best = got, pi
+    return best
+
+
+def test_mixtures_match_a_plain_inference():
+    rng = np.random.default_rng(6)
+    langs, parts = 7, []
+    for true in ([0], [3], [0, 1], [2, 4, 6], [0, 1, 2, 3, 4], list(range(7)), [5]):
+        words = int(rng.integers(1, 60)) * len(true)
+        ll = rng.normal(-30, 1, (words, langs))
+        ll[np.arange(words), rng.choice(true, words)] += 8
+        parts.append(ll.astype(np.float32))
+    found = language_id.infer(np.concatenate(parts), np.cumsum([0, *(len(p) for p in parts[:-1])]))
+    for got, ll in zip(found, parts, strict=True):
+        assert np.allclose(got, plain_inference(ll), atol=2e-3)
+    assert (found > 0).sum(1).tolist()[:3] == [1, 1, 2] and (found[5] > 0).sum() > 4
+
+
 def test_long_texts_are_read_whole():
     assert "".join(language_id.pieces("ab cd " * 1000, 100)) == "ab cd " * 1000
     assert "".join(language_id.pieces("x" * 1000, 100)) == "x" * 1000
