@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,6 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from siltstone.llm.common import Scratch, row_blocks
-from siltstone.llm.id_cache import IdCache
 
 END_ID = 1
 #: A chunk has at least so many ids, about MIN + 2**MASK_BITS on average, and never more than MAX_CHUNK.
@@ -91,6 +90,19 @@ JOINED = 256
 _TAIL = "".join(c for c in string.punctuation if c != "'")
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """Words without a space in them: one string tells them apart again, and costs less than one by one."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py().split(" ")
+
+
+def _ragged(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``first`` and have ``size`` items, one after another."""
+    end = np.cumsum(size, dtype=np.int64)
+    at = np.repeat(first - (end - size), size)
+    at += np.arange(len(at))
+    return flat[at]
+
+
 class WordEncoder:
     """The tokenizers library with a memory of words.
 
@@ -98,13 +110,16 @@ class WordEncoder:
     text's ids are its words' ids one after another. A block of texts is cut into words and these
     are numbered by Arrow, so each distinct word of a block is looked up once. Punctuation behind
     letters is a pre-token of its own, and the library lower-cases, so words that differ in these
-    alone are encoded once. Special tokens in a text have their own ids, as in the library's plain
+    alone share a stem. Special tokens in a text have their own ids, as in the library's plain
     call; it looks for them before it lower-cases, so words with "<|" stay as they are. Words of
     letters are encoded many in one string and told apart by the vocabulary's word ends; if their
     number is not that of the words, each is encoded alone.
+
+    Stems seen before stand in an Arrow array (``known``), their ids in one array behind each other.
+    Beyond ``limit`` stems those go that no text used since the last time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -113,53 +128,77 @@ class WordEncoder:
         self.width = 2 if len(vocabulary) <= 1 << 16 else 4
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.stems = IdCache(self._encode, 500_000)
-        self.words = IdCache(self._compose, 600_000)
+        self.limit = limit
+        self.known, self.flat = pa.array([], pa.string()), np.empty(0, np.uint32)
+        self.first, self.size, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
 
-    def _alone(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _alone(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        plain = [w for w in words if w.isalpha()]
-        found = {}
+    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of each word, by the library."""
+        out: list[np.ndarray | None] = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False) if groups else (), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            ends = (np.flatnonzero(self.word_end[ids]) + 1) * 4
+        joined = [" ".join([words[i] for i in g]) for g in groups]
+        for group, ids in zip(groups, self._alone(joined) if joined else (), strict=True):
+            ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) == len(group):
-                raw, ends = ids.tobytes(), ends.tolist()
-                found.update(zip(group, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        rest = [w for w in words if w not in found]
-        found.update(zip(rest, self._alone(rest) if rest else (), strict=True))
-        return [found[w] for w in words]
-
-    def _compose(self, words: list[str]) -> list[bytes]:
-        stems, tails = [], []
-        for w in words:
-            stem = w if w.isalpha() else w.rstrip(_TAIL)
-            if stem is not w and not stem.isalpha():
-                stem = w
-            tails.append(w[len(stem) :])
-            stems.append(stem.lower() if stem.isascii() and "<|" not in stem else stem)
-        ends = list(set(tails))
-        of_tail = dict(zip(ends, self.stems.packed(ends), strict=True))
-        return [ids + of_tail[t] if t else ids for ids, t in zip(self.stems.packed(stems), tails, strict=True)]
+                for i, own in zip(group, np.split(ids, ends[:-1]), strict=True):
+                    out[i] = own
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._alone([words[i] for i in rest]) if rest else (), strict=True):
+            out[i] = ids
+        return out
+
+    def _places(self, stems: pa.Array) -> np.ndarray:
+        """Where distinct stems stand in ``known``; new ones are encoded and added."""
+        if len(self.known) + len(stems) > self.limit:
+            keep = np.flatnonzero(self.used)
+            self.flat = _ragged(self.flat, self.first[keep], self.size[keep])
+            self.known, self.size, self.used = self.known.take(pa.array(keep)), self.size[keep], np.zeros(len(keep), bool)
+            self.first = np.cumsum(self.size) - self.size
+        place = pc.index_in(stems, value_set=self.known)
+        if place.null_count:
+            new = pc.filter(stems, pc.is_null(place))
+            ids = self._encode(_strings(new))
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            before = len(self.known)
+            self.known = pa.concat_arrays([self.known, new])
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, *ids])
+            self.used = np.concatenate([self.used, np.ones(len(ids), bool)])
+            out = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+            out[out < 0] = np.arange(before, before + len(ids))
+        else:
+            out = place.to_numpy().astype(np.int64)
+        self.used[out] = True
+        return out
 
     def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after another, and the end of each text's ids. Null counts as empty."""
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        if not len(split):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         coded = split.flatten().dictionary_encode()
-        # words have no space in them, so one string tells them apart again
-        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ")
-        packed = self.words.packed(distinct)
-        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        first = np.cumsum(size) - size
+        words = coded.dictionary
+        trimmed = pc.utf8_rtrim(words, _TAIL)
+        stem = pc.if_else(pc.utf8_is_alpha(trimmed), trimmed, words)
+        plain = pc.and_(pc.string_is_ascii(stem), pc.invert(pc.match_substring(stem, "<|")))
+        cut = np.flatnonzero(pc.binary_length(stem).to_numpy() < pc.binary_length(words).to_numpy())
+        tails = [w[n:] for w, n in zip(_strings(words.take(pa.array(cut))), pc.utf8_length(stem.take(pa.array(cut))).to_pylist(), strict=True)] if len(cut) else []
+        parts = pa.concat_arrays([pc.if_else(plain, pc.ascii_lower(stem), stem), pa.array(["", *tails], pa.string())]).dictionary_encode()
+        found = self._places(parts.dictionary)[parts.indices.to_numpy()]
+        place = np.empty((len(words), 2), np.int64)  # each word's stem and tail
+        place[:, 0], place[:, 1] = found[: len(words)], found[len(words)]
+        place[cut, 1] = found[len(words) + 1 :]
+        place = place.ravel()
+        ids = _ragged(self.flat, self.first[place], self.size[place])
+        size = self.size[place].reshape(-1, 2).sum(1)
         word = coded.indices.to_numpy()
         long = size[word]
-        end = np.cumsum(long)
-        at = np.repeat(first[word] - end + long, long) + np.arange(end[-1] if len(end) else 0)
         last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        return np.frombuffer(b"".join(packed), np.uint32)[at], end[last - 1] if len(last) else last
+        return _ragged(ids, (np.cumsum(size) - size)[word], long), np.cumsum(long)[last - 1]
 
     def ids(self, text: str) -> np.ndarray:
         return self.block(pa.array([text], pa.string()))[0]
@@ -216,6 +255,20 @@ def running_starts(staged: DataFrame, scratch: Scratch) -> DataFrame:
 STORED = "doc_id bigint, start bigint, n_tokens bigint, sizes array<int>, digests array<binary>, root binary, alone boolean, shared array<binary>, own binary, pool array<struct<digest:binary,chunk:binary>>, segment bigint"
 
 
+def _split(row: dict, shared: set[bytes], owned: set[bytes]) -> tuple[bytes, list[dict]]:
+    """A document's chunks that no other place holds, and those shared ones that are kept with it."""
+    own, pool, at, width = [], [], 0, len(row["ids"]) // row["n_tokens"]
+    for size, digest in zip(row["sizes"], row["digests"], strict=True):
+        chunk = row["ids"][at * width : (at + size) * width]
+        at += size
+        if digest not in shared:
+            own.append(chunk)
+        elif digest in owned:
+            owned.discard(digest)
+            pool.append({"digest": digest, "chunk": chunk})
+    return b"".join(own), pool
+
+
 def write_store(staged: DataFrame, path: str, scratch: Scratch) -> None:
     """Write the store's documents in ascending order of doc_id.
 
@@ -233,27 +286,27 @@ def write_store(staged: DataFrame, path: str, scratch: Scratch) -> None:
     stored = _arrow(STORED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fact, segment = None, TaskContext.get().partitionId()
+        segment, held = TaskContext.get().partitionId(), []
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if row["kind"] == 0:
-                    fact = row
-                    continue
-                if fact is None or fact["uid"] != row["uid"]:
-                    raise ValueError("a document without its place in the order")
-                shared, owned, own, pool, at = set(fact["shared"] or ()), set(fact["owned"] or ()), [], [], 0
-                width = len(row["ids"]) // row["n_tokens"]
-                for size, digest in zip(row["sizes"], row["digests"], strict=True):
-                    chunk = row["ids"][at * width : (at + size) * width]
-                    at += size
-                    if digest not in shared:
-                        own.append(chunk)
-                    elif digest in owned:
-                        owned.discard(digest)
-                        pool.append({"digest": digest, "chunk": chunk})
-                out.append({c: row[c] for c in ("doc_id", "n_tokens", "sizes", "digests", "root")} | {"start": fact["start"], "alone": not shared, "shared": sorted(shared), "own": b"".join(own), "pool": pool, "segment": segment})
-            yield pa.RecordBatch.from_pylist(out, schema=stored)
+            table = pa.Table.from_batches([*held, batch])
+            kind = table.column("kind")
+            docs, facts = table.filter(pc.equal(kind, 1)).combine_chunks(), table.filter(pc.equal(kind, 0)).combine_chunks()
+            n = docs.num_rows
+            held = facts.slice(n).to_batches()  # its document comes in the next batch
+            facts = facts.slice(0, n)
+            if not facts.column("uid").equals(docs.column("uid")):
+                raise ValueError("a document without its place in the order")
+            own, shared, pools = docs.column("ids").to_pylist(), [[]] * n, [[]] * n
+            for i in np.flatnonzero(pc.fill_null(pc.list_value_length(facts.column("shared")), 0).to_numpy()).tolist():
+                row, fact = docs.slice(i, 1).to_pylist()[0], facts.slice(i, 1).to_pylist()[0]
+                own[i], pools[i] = _split(row, set(fact["shared"]), set(fact["owned"] or ()))
+                shared[i] = sorted(fact["shared"])
+            if n:
+                columns = {c: docs.column(c) for c in ("doc_id", "n_tokens", "sizes", "digests", "root")} | {"start": facts.column("start"), "alone": [not x for x in shared], "shared": shared, "own": own, "pool": pools, "segment": [segment] * n}
+                columns = [columns[f.name] if isinstance(columns[f.name], pa.ChunkedArray) else pa.array(columns[f.name], f.type) for f in stored]
+                yield from pa.table(columns, schema=stored).to_batches()
+        if held:
+            raise ValueError("a place in the order without its document")
 
     ordered = rows.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid", "kind")
     ordered.mapInArrow(run, STORED).write.option("compression", "zstd").parquet(path)
@@ -273,33 +326,45 @@ def write_manifest(store: DataFrame, path: str) -> None:
 REBUILT = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, segment bigint, root binary"
 
 
+def _join(sizes: list[int], digests: list[bytes], own: bytes, pieces: dict[bytes, bytes]) -> list[bytes]:
+    """A document's chunks, from its own ones and the shared ones by digest."""
+    own_tokens = sum(n for n, d in zip(sizes, digests, strict=True) if d not in pieces)
+    width, chunks, at = len(own) // own_tokens if own_tokens else 0, [], 0
+    for size, digest in zip(sizes, digests, strict=True):
+        if digest in pieces:
+            chunks.append(pieces[digest])
+        else:
+            chunks.append(own[at : at + size * width])
+            at += size * width
+    return chunks
+
+
 def _rebuild(rows: DataFrame, with_ids: bool) -> DataFrame:
     ddl = REBUILT + (", ids binary" if with_ids else "")
     rebuilt = _arrow(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                pieces = {x["digest"]: x["chunk"] for x in row.get("pieces") or ()}
-                shared = set(row["shared"])
-                own_tokens = sum(n for n, d in zip(row["sizes"], row["digests"], strict=True) if d not in shared)
-                width = len(row["own"]) // own_tokens if own_tokens else 0
-                chunks, at = [], 0
-                for size, digest in zip(row["sizes"], row["digests"], strict=True):
-                    if digest in shared:
-                        chunk = pieces[digest]
-                    else:
-                        chunk = row["own"][at : at + size * width]
-                        at += size * width
-                    if chunk_digest(chunk) != digest:
-                        raise ValueError(f"a chunk of document {row['doc_id']} does not match its digest")
-                    chunks.append(chunk)
-                raw = b"".join(chunks)
-                ids = np.frombuffer(raw, f"<u{len(raw) // row['n_tokens']}").astype("<u4").tobytes()
-                root = merkle_root([chunk_digest(x) for x in chunks])
-                out.append({"doc_id": row["doc_id"], "start": row["start"], "n_tokens": len(ids) // 4, "ids_crc32": zlib.crc32(ids), "segment": row["segment"], "root": root} | ({"ids": ids} if with_ids else {}))
-            yield pa.RecordBatch.from_pylist(out, schema=rebuilt)
+            lists = {c: (batch.column(c).flatten().to_pylist(), np.cumsum(pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False)).tolist()) for c in ("sizes", "digests")}
+            (sizes, ends), (digests, _) = lists["sizes"], lists["digests"]
+            shared = pc.list_value_length(batch.column("shared")).to_numpy(zero_copy_only=False).tolist()
+            out: dict[str, list] = {c: [] for c in ("n_tokens", "ids_crc32", "root", "ids")}
+            for i, (a, b, n, own) in enumerate(zip([0, *ends[:-1]], ends, batch.column("n_tokens").to_pylist(), batch.column("own").to_pylist(), strict=True)):
+                if shared[i]:
+                    pieces = {x["digest"]: x["chunk"] for x in batch.column("pieces")[i].as_py()}
+                    chunks = _join(sizes[a:b], digests[a:b], own, pieces)
+                else:
+                    width, cuts = len(own) // n, [0, *accumulate(sizes[a:b])]
+                    chunks = [own[x * width : y * width] for x, y in pairwise(cuts)]
+                found = list(map(chunk_digest, chunks))
+                if found != digests[a:b]:
+                    raise ValueError(f"a chunk of document {batch.column('doc_id')[i].as_py()} does not match its digest")
+                raw = b"".join(chunks) if shared[i] else own
+                ids = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes()
+                for c, v in zip(out, (len(ids) // 4, zlib.crc32(ids), merkle_root(found), ids if with_ids else None), strict=True):
+                    out[c].append(v)
+            columns = {c: batch.column(c) for c in ("doc_id", "start", "segment")} | out
+            yield pa.record_batch([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in rebuilt], schema=rebuilt)
 
     return rows.mapInArrow(run, ddl)
 
