@@ -30,6 +30,33 @@ def after_prefix(prefix: str | bytes) -> str | bytes | None:
     return None
 
 
+def encode_bytes(data: Column) -> Column:
+    """A key or value as stored bytes: its length (4 bytes, big-endian) and itself. Null stays null."""
+    data = data.cast("binary")
+    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(data)), 8, "0")), data)
+
+
+def decode_bytes(packed: Column) -> Column:
+    """What ``encode_bytes`` packed; an error where the length is not that of the rest."""
+    length = F.conv(F.hex(F.substring(packed, 1, 4)), 16, 10).cast("bigint")
+    wrong = F.octet_length(packed) != length + 4
+    return F.when(wrong, F.raise_error(F.lit("stored bytes do not have their length"))).otherwise(F.substr(packed, F.lit(5)))
+
+
+def encode_value(op: Column, value: Column) -> Column:
+    """An operation and its value: 1 byte (1 put, 2 delete) and ``encode_bytes`` of the value. A delete has length 0, and an error if it carries a value."""
+    wrong = (op == "DELETE") & value.isNotNull()
+    kind = F.when(wrong, F.raise_error(F.lit("a delete has no value")).cast("string")).when(op == "PUT", "01").when(op == "DELETE", "02")
+    return F.concat(F.unhex(kind), encode_bytes(F.coalesce(value.cast("binary"), F.lit("").cast("binary"))))
+
+
+def decode_value(packed: Column) -> Column:
+    """(op, value) of ``encode_value``; a delete's value is null."""
+    is_put = F.hex(F.substring(packed, 1, 1)) == "01"
+    value = decode_bytes(F.substr(packed, F.lit(2)))
+    return F.struct(F.when(is_put, "PUT").otherwise("DELETE").alias("op"), F.when(is_put, value).alias("value"))
+
+
 def bloom_positions(key: Column, bits: int, hashes: int) -> Column:
     """Bit positions of a key by double hashing of the first two 32-bit words of its MD5."""
     digest = F.md5(key.cast("string").cast("binary"))

@@ -121,6 +121,9 @@ ORACLE_SQL: dict[str, str] = {
     "kv_missing_files": f"WITH {RUNS} SELECT DISTINCT file_id FROM runs WHERE run_id % 4 = 3",
     "kv_oldest_snapshot": f"SELECT coalesce(min(seq), {MAX}) AS oldest, sum(n)::BIGINT AS active FROM (SELECT seq, sum(n) AS n FROM (VALUES (3000, 1), (5000, 1), (5000, 1), (9000, 1), (3000, -1)) t(seq, n) GROUP BY seq) WHERE n > 0",
     "kv_checksum_validate": f"WITH {WAL} SELECT segment, CASE WHEN segment % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS bad, count(*) - CASE WHEN segment % 4 = 0 THEN 1 ELSE 0 END AS good FROM wal GROUP BY segment",
+    "kv_codec_roundtrip": """WITH t AS (SELECT conv_id::VARCHAR AS k, CASE WHEN turn % 5 = 0 THEN 'DELETE' ELSE 'PUT' END AS op, CASE WHEN turn % 5 <> 0 THEN text END AS v FROM conversations)
+      SELECT printf('%08X', strlen(k)) || hex(k) AS key_hex, md5(unhex(CASE op WHEN 'PUT' THEN '01' ELSE '02' END || printf('%08X', strlen(coalesce(v, ''))) || hex(coalesce(v, '')))) AS value_md5,
+        (5 + strlen(coalesce(v, '')))::INT AS value_bytes, k AS key_back, op AS op_back, v AS value_back FROM t""",
     "kv_hit_ratio": f"WITH {KV} SELECT coalesce(round(100.0 * count(*) FILTER (op = 'PUT') / nullif(count(*), 0)), 0)::BIGINT AS ratio FROM kv",
     "kv_op_counters": f"WITH {KV} SELECT 'writes.total' AS metric, count(*) AS n FROM kv UNION ALL SELECT 'deletes.total', count(*) FILTER (op = 'DELETE') FROM kv",
     "kv_value_percentiles": f"WITH {KV} SELECT count(value) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, max(value) AS mx FROM kv",

@@ -8,6 +8,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.keys import decode_bytes, decode_value, encode_bytes, encode_value
 from siltstone.operators import cache, compaction, manifest, metrics, mvcc, runs, wal
 from siltstone.operators.order import next_sequences, with_position
 from siltstone.scratch import Scratch
@@ -477,6 +478,16 @@ def kv_checksum_validate(spark, folder):
     return wal.bad_frames_by_segment(wal_of(spark, folder, place))
 
 
+@query
+def kv_codec_roundtrip(spark, folder):
+    """Stored bytes of keys and values of the turns, every fifth of them deleted, and what they decode to."""
+    op = F.when(F.col("seq") % 5 == 0, mvcc.DELETE).otherwise(mvcc.PUT)
+    log = views.turn_log(spark, folder).withColumn("op", op).withColumn("value", F.when(op == mvcc.PUT, F.col("value")))
+    packed = log.select("key", "seq", encode_bytes(F.col("key").cast("string")).alias("k"), encode_value(F.col("op"), F.col("value")).alias("v"))
+    back = packed.withColumn("entry", decode_value(F.col("v")))
+    return back.select(F.hex("k").alias("key_hex"), F.md5("v").alias("value_md5"), F.octet_length("v").alias("value_bytes"), decode_bytes(F.col("k")).cast("string").alias("key_back"), F.col("entry.op").alias("op_back"), F.col("entry.value").cast("string").alias("value_back"))
+
+
 @query
 def kv_hit_ratio(spark, folder):
     return log_of(spark, folder).agg(cache.hit_ratio(F.count_if(F.col("op") == mvcc.PUT), F.count("*")).alias("ratio"))

@@ -205,7 +205,7 @@ class Table:
         ordered = (rows.coalesce(1) if parts == 1 else rows.repartitionByRange(parts, *order)).sortWithinPartitions(*order)
         ordered.write.options(**self.config.spark_write_options()).parquet(folder)
         seen = self.spark.read.schema(self.schema).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
-        stats = seen.agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.count("*").alias("rows"))
+        stats = seen.agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.count("*").alias("rows"), F.count_if(F.col("op") == mvcc.DELETE).alias("deletes"))
         out = []
         for r in stats.collect():
             entry = r.asDict() | {"level": level}
@@ -214,13 +214,14 @@ class Table:
             out.append(entry)
         return out
 
-    def apply_batch(self, mutations: DataFrame, order: str | None = None, app: str | None = None, batch: int | None = None) -> int:
+    def apply_batch(self, mutations: DataFrame, order: str | None = None, app: str | None = None, batch: int | None = None, sync: bool = True) -> int:
         """Commit mutations (key, op, value) as one; the new last sequence number.
 
         Rows get sequence numbers in the order of the column ``order`` (of ``key`` without one), ties
         by op with deletes last, then by value. Null and empty keys, puts without and deletes with a value are
         refused before a number is taken. With ``app`` and ``batch`` a batch that is already in
-        is skipped, so a repeated stream batch changes nothing.
+        is skipped, so a repeated stream batch changes nothing. ``sync`` is accepted for compatibility:
+        every commit is durable before this returns.
         """
         key = F.col("key")
         empty = (F.octet_length(key) == 0) if isinstance(self.schema["key"].dataType, T.StringType | T.BinaryType) else F.lit(False)
@@ -242,21 +243,20 @@ class Table:
                 last = max([state.last_seq, *(f["max_seq"] for f in added)])
                 if self._commit(state.version + 1, add=added, remove=[], last_seq=last, app=app, batch=batch):
                     self.metrics.count("writes.total", sum(f["rows"] for f in added))
+                    self.metrics.count("deletes.total", sum(f["deletes"] for f in added))
                     return self.state().last_seq
         finally:
             self._written = 0
             scratch.clear()
         raise ConflictError(f"{TRIES} other commits came first")
 
-    def put(self, rows: DataFrame, order: str | None = None) -> int:
+    def put(self, rows: DataFrame, order: str | None = None, sync: bool = True) -> int:
         """Commit puts (key, value)."""
-        return self.apply_batch(rows.withColumn("op", F.lit(mvcc.PUT)), order)
+        return self.apply_batch(rows.withColumn("op", F.lit(mvcc.PUT)), order, sync=sync)
 
     def delete(self, keys: DataFrame) -> int:
         """Commit tombstones for keys, whether they exist or not."""
-        n = self.apply_batch(keys.select("key", F.lit(mvcc.DELETE).alias("op"), F.lit(None).cast(self.schema["value"].dataType).alias("value")))
-        self.metrics.count("deletes.total")
-        return n
+        return self.apply_batch(keys.select("key", F.lit(mvcc.DELETE).alias("op"), F.lit(None).cast(self.schema["value"].dataType).alias("value")))
 
     def put_rows(self, *pairs: tuple) -> int:
         """Commit a few literal puts, later ones over earlier ones."""
