@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from siltstone.llm.common import KEY, Scratch, document_key
 
-#: A repeated run of lines counts from so many words on.
+#: A repeated run of lines counts from so many words on (runs of characters that are no ASCII white space).
 MIN_WORDS = 50
 
 def number_lines(sizes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -107,7 +107,8 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     rows = docs.filter(F.col(f"`{text_col}`").isNotNull()).select(*document_key(id_col, text_col), lines.alias("lines"))
     sizes = rows.select(*KEY, F.size("lines").cast("bigint").alias("n_lines")).distinct()
     begins = scratch.save(number_lines(sizes, scratch), "begins")
-    words = F.when(F.trim("line") == "", 0).otherwise(F.size(F.split(F.trim("line"), r"\s+")))
+    spaced = F.trim(F.translate("line", "\t\x0b\x0c\r", "    "))
+    words = F.when(spaced == "", 0).otherwise(F.size(F.split(spaced, " +")))
     each = rows.select(*KEY, F.posexplode("lines").alias("no", "line"))
     each = each.select(*KEY, "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), words.alias("words"))
     twice = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")

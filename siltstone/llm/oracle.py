@@ -41,4 +41,24 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'r
 FROM s LEFT JOIN f USING (payload_digest)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_warc_archive": ARCHIVE, "op10_decontamination": CONTAMINATION}
+LINE_RUNS = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS no FROM d),
+s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY no) AS upto
+  FROM (SELECT *, len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS n FROM lines)),
+spans AS (SELECT a.doc_id, a.no AS a, b.no AS b FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.no >= a.no AND b.upto - a.upto + a.n >= 50),
+units AS (SELECT doc_id, a, min(b) AS b FROM spans GROUP BY doc_id, a UNION SELECT doc_id, max(a), b FROM spans GROUP BY doc_id, b),
+bodies AS (SELECT doc_id, a, b, array_to_string(l[a + 1:b + 1], chr(10)) AS body FROM units JOIN d USING (doc_id)),
+firsts AS (SELECT body, min({'id': doc_id, 'a': a}) AS f FROM bodies GROUP BY body HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = f.id THEN greatest(a, f.a + b - a + 1) ELSE a END, b + 1)) AS no
+  FROM bodies JOIN firsts USING (body) WHERE {'id': doc_id, 'a': a} > f),
+runs AS (SELECT doc_id, min(no) AS f, max(no) + 1 AS e
+  FROM (SELECT *, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS island FROM gone) GROUP BY doc_id, island),
+cut AS (SELECT doc_id, sum(e - f)::BIGINT AS n_deleted, string_agg(f || '-' || e, ',' ORDER BY f) AS deleted FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS text FROM lines ANTI JOIN gone USING (doc_id, no) GROUP BY doc_id)
+SELECT o.doc_id, coalesce(len(d.l), 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted, coalesce(deleted, '') AS deleted,
+  CASE WHEN o.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
+FROM documents o LEFT JOIN d USING (doc_id) LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_line_runs": LINE_RUNS, "op8_warc_archive": ARCHIVE, "op10_decontamination": CONTAMINATION}

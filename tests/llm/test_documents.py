@@ -399,6 +399,12 @@ def test_sparse_line_runs(spark):
     assert found == {0: sparse, 1: parted, 2: tail, 3: "", 4: "other", 5: ""}
 
 
+def test_words_of_lines_with_other_white_space(spark):
+    docs = [(i, "\n".join("\tw%d \r" % n for n in range(49)), "en") for i in range(2)] + [(i, "\n".join("\tv%d\x0bz\r" % n for n in range(25)), "en") for i in range(2, 4)]
+    found = {r.doc_id: r.n_deleted for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 25}
+
+
 def test_sparse_line_runs_match_a_plain_search(spark):
     rng = random.Random(7)
     docs = [(i, "\n".join(rng.choice(["", "", "", "a", "b c"] if rng.random() < 0.2 else [""]) for _ in range(90))) for i in range(3)]

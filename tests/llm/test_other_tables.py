@@ -204,7 +204,7 @@ def test_every_operator_is_registered():
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql().keys() & {"op8_warc_archive", "op10_decontamination"}))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql().keys() & {"op6_line_runs", "op8_warc_archive", "op10_decontamination"}))
 def test_sql_equivalents(spark, name):
     import duckdb
 
