@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +71,18 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that are begun inside go at the end: for results that are stored inside."""
+    before = set(_roots)
+    try:
+        yield
+    finally:
+        for root in _roots - before:
+            _roots.discard(root)
+            remove(spark, root)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove all scratch tables of this process; results that were not stored can no longer be read."""
     while _roots:
