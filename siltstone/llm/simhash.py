@@ -23,6 +23,8 @@ SEED = 42
 PIVOTS = 16
 #: Rows that share a candidate key by chance, at most about.
 CHANCE_ROWS = 4
+#: Groups of one key with more pairs to compare than this are split by further bits first.
+SPLIT_PAIRS = 1 << 16
 
 _SHINGLES_AT_ONCE = 1 << 15
 
@@ -97,6 +99,22 @@ def block_masks(n: int, bits: int = MAX_BITS, chance: int = CHANCE_ROWS) -> list
     return masks
 
 
+def _cut(bits: list[int], blocks: int) -> list[int]:
+    """Masks of ``blocks`` runs of the given bit places."""
+    cuts = [round(i * len(bits) / blocks) for i in range(blocks + 1)]
+    return [sum(1 << b for b in bits[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+
+
+def _split_large(rows: DataFrame, masks: list[int], bits: int) -> DataFrame:
+    """rows (k, part, fp, large, ...) with (piece, same): in large groups once for each of bits + 1 blocks of the bits
+    that the key leaves open, else once. Rows within ``bits`` bits of each other agree in one of these blocks."""
+    blocks = F.lit([[_signed(m) for m in _cut([b for b in range(64) if not mask >> b & 1], bits + 1)] for mask in masks])
+    own = F.element_at(blocks, F.col("k") + 1)
+    pieces = F.transform(own, lambda m, i: F.struct(i.alias("piece"), F.col("fp").bitwiseAND(m).alias("same")))
+    whole = F.array(F.struct(F.lit(-1).alias("piece"), F.lit(0).cast("bigint").alias("same")))
+    return rows.select(*[c for c in rows.columns if c != "large"], F.inline(F.when(F.col("large"), pieces).otherwise(whole)))
+
+
 def _with_keys(nodes: DataFrame, masks: list[int], *columns: str) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(i).cast("smallint").alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for i, m in enumerate(masks)])
     return nodes.select("fp", *columns, F.explode(keys).alias("key")).select("key.k", "key.part", "fp", *columns)
@@ -108,7 +126,8 @@ def link_fingerprints(nodes: DataFrame, scratch: Scratch, bits: int = MAX_BITS)
     Exact without all pairs of a group. First each row is held against three members of each of
     its keys' groups (smallest, largest, commonest), which already joins the large groups of near
     copies. Then only rows of different components that share a key are compared, those outside
-    the key's largest component with all rows of the key. What is left unlinked is further apart.
+    the key's largest component with all rows of the key; where these are many pairs, only those that
+    agree in a further block of bits. What is left unlinked is further apart.
     """
     masks = block_masks(nodes.count(), bits)
     keyed = _with_keys(nodes, masks, "n")
@@ -125,11 +144,12 @@ def link_fingerprints(nodes: DataFrame, scratch: Scratch, bits: int = MAX_BITS)
     marked = scratch.save(marked, "marked")
     rows = _with_keys(marked, masks, "c", "p0", "p1")
     sizes = rows.groupBy("k", "part", "c").agg(F.count("*").alias("rows"))
-    mixed = scratch.save(sizes.groupBy("k", "part").agg(F.max_by("c", "rows").alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("k", "part", "main"), "mixed")
-    of_mixed = scratch.save(rows.join(mixed, ["k", "part"]), "rows")
+    of_key = sizes.groupBy("k", "part").agg(F.max_by("c", "rows").alias("main"), F.count("*").alias("kinds"), F.sum("rows").alias("all"), F.max("rows").alias("most")).filter("kinds > 1")
+    mixed = scratch.save(of_key.select("k", "part", "main", ((F.col("all") - F.col("most")) * F.col("all") > SPLIT_PAIRS).alias("large")), "mixed")
+    of_mixed = scratch.save(_split_large(rows.join(mixed, ["k", "part"]), masks, bits), "rows")
     a = of_mixed.filter("c <> main").drop("main")
-    b = of_mixed.select("k", "part", F.col("fp").alias("fp2"), F.col("c").alias("c2"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
-    more = a.join(b, ["k", "part"]).filter((F.col("c") != F.col("c2")) & close(F.col("fp"), cols("p"), F.col("fp2"), cols("q"), bits))
+    b = of_mixed.select("k", "part", "piece", "same", F.col("fp").alias("fp2"), F.col("c").alias("c2"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+    more = a.join(b, ["k", "part", "piece", "same"]).filter((F.col("c") != F.col("c2")) & close(F.col("fp"), cols("p"), F.col("fp2"), cols("q"), bits))
     second = scratch.save(components(more.select(F.col("c").alias("a"), F.col("c2").alias("b")), scratch), "joined")
     out = scratch.save(marked.join(second, marked.c == second.node, "left").select("fp", F.coalesce("component", "c").alias("component")), "linked")
     scratch.drop(centres, first, marked, mixed, of_mixed, second)

@@ -189,8 +189,9 @@ def test_near_duplicates_of_a_repeated_id(spark):
     assert simhash.drop_near_duplicates(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("chance", [4, 1 << 40])
-def test_links_are_exact(spark, monkeypatch, chance):
+@pytest.mark.parametrize(("chance", "pairs"), [(4, 0), (1 << 40, simhash.SPLIT_PAIRS), (4, 20)])
+def test_links_are_exact(spark, monkeypatch, chance, pairs):
+    monkeypatch.setattr(simhash, "SPLIT_PAIRS", pairs)
     rng = random.Random(5)
     centres = [rng.getrandbits(64) for _ in range(6)]
     prints = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for c in centres for _ in range(25)} | {rng.getrandbits(64) for _ in range(30)}
