@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import bpe, decontaminate, language_id, line_dedup, simhash
 from siltstone.llm.common import Scratch, table
+from siltstone.scratch import temporary
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the last one's rows."""
+    """All stages over ``documents``; the last one's rows. What a stage wrote for itself goes once its rows are stored."""
     docs, scratch, last = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
-        after = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with temporary(spark):
+            after = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         if last is not None:
             scratch.drop(last)
         docs = last = after
