@@ -121,6 +121,10 @@ ORACLE_SQL: dict[str, str] = {
     "kv_missing_files": f"WITH {RUNS} SELECT DISTINCT file_id FROM runs WHERE run_id % 4 = 3",
     "kv_oldest_snapshot": f"SELECT coalesce(min(seq), {MAX}) AS oldest, sum(n)::BIGINT AS active FROM (SELECT seq, sum(n) AS n FROM (VALUES (3000, 1), (5000, 1), (5000, 1), (9000, 1), (3000, -1)) t(seq, n) GROUP BY seq) WHERE n > 0",
     "kv_checksum_validate": f"WITH {WAL} SELECT segment, CASE WHEN segment % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS bad, count(*) - CASE WHEN segment % 4 = 0 THEN 1 ELSE 0 END AS good FROM wal GROUP BY segment",
+    "kv_lru_sim": f"""WITH {KV}, acc AS (SELECT key, key % 16 AS shard, seq, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS prev FROM kv),
+      near AS (SELECT a.seq, count(DISTINCT b.key) AS others FROM acc a LEFT JOIN acc b ON a.shard = b.shard AND b.seq > a.prev AND b.seq < a.seq WHERE a.prev IS NOT NULL GROUP BY a.seq),
+      n AS (SELECT (SELECT count(*) FROM near WHERE others < 4) AS hits, (SELECT count(*) FROM acc) AS asked, (SELECT sum(least(4, k)) FROM (SELECT count(DISTINCT key) AS k FROM acc GROUP BY shard)) AS held)
+      SELECT hits, asked - hits AS misses, (asked - hits - held)::BIGINT AS evictions FROM n""",
     "kv_codec_roundtrip": """WITH t AS (SELECT conv_id::VARCHAR AS k, CASE WHEN turn % 5 = 0 THEN 'DELETE' ELSE 'PUT' END AS op, CASE WHEN turn % 5 <> 0 THEN text END AS v FROM conversations)
       SELECT printf('%08X', strlen(k)) || hex(k) AS key_hex, md5(unhex(CASE op WHEN 'PUT' THEN '01' ELSE '02' END || printf('%08X', strlen(coalesce(v, ''))) || hex(coalesce(v, '')))) AS value_md5,
         (5 + strlen(coalesce(v, '')))::INT AS value_bytes, k AS key_back, op AS op_back, v AS value_back FROM t""",

@@ -496,7 +496,7 @@ def kv_hit_ratio(spark, folder):
 @query
 def kv_lru_sim(spark, folder):
     accesses = log_of(spark, folder).select("key", F.col("seq").alias("at"), F.lit(4096).alias("bytes"))
-    found = cache.simulate_lru(accesses, capacity=4 * 4096)
+    found = cache.simulate_lru(accesses, capacity=4 * 4096, shard=F.pmod("key", F.lit(16)))
     return found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("hits", "misses", "evictions")])
 
 
