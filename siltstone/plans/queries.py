@@ -13,7 +13,7 @@ from siltstone.operators import cache, compaction, manifest, metrics, mvcc, runs
 from siltstone.operators.order import next_sequences, with_position
 from siltstone.scratch import Scratch
 from siltstone.sources import views
-from siltstone.sources.wal_files import SEGMENT_SPAN, read_wal, segment_files, write_wal
+from siltstone.sources.wal_files import SEGMENT_SPAN, decoded, segment_files, write_wal
 
 KEY, LIVE_KEY, SNAPSHOT = 8, 9, 5000
 LOW, HIGH, FROM, UNTIL = 20, 60, 100, 30
@@ -62,10 +62,11 @@ def wal_files(spark: SparkSession, folder: str) -> str:
 
 
 def wal_of(spark: SparkSession, folder: str, place: str | None = None) -> DataFrame:
-    """The segments of ``wal_files`` as the data source reads them, numbered in their order."""
+    """The segments of ``wal_files`` as the data source reads them, numbered in their order and decoded once."""
     from_bytes = lambda c, kind: F.col(c).cast("string").cast(kind).alias(c)
     segment = F.floor(F.col("pos") / SEGMENT_SPAN).alias("segment")
-    return read_wal(spark, place or wal_files(spark, folder)).select(segment, "pos", "frame", "rtype", from_bytes("key", "bigint"), from_bytes("value", "double"), "seq", "bad")
+    frames = decoded(spark, place or wal_files(spark, folder))
+    return frames.select(segment, "pos", "frame", "rtype", from_bytes("key", "bigint"), from_bytes("value", "double"), "seq", "bad")
 
 
 def manifest_of(spark: SparkSession, folder: str) -> DataFrame:

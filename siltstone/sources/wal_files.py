@@ -22,7 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from siltstone.config import MIB, EngineConfig
 from siltstone.errors import CorruptionError
-from siltstone.operators.wal import removable_segments
+from siltstone.operators.wal import removable_segments, replay
+from siltstone.scratch import Scratch
 
 HEADER = b"SLTWAL\x00\x01"
 TYPES = ["PUT", "DELETE", "BATCH_START", "BATCH_END"]
@@ -215,6 +216,16 @@ def read_wal(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("siltstone_wal").load(folder)
 
 
+def decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """``read_wal`` written once to the shared folder, for what goes through the frames several times."""
+    return Scratch(spark, "wal-frames").save(read_wal(spark, folder), "frames")
+
+
+def recover(spark: SparkSession, folder: str, flushed: int = 0, policy: str = "LENIENT") -> DataFrame:
+    """(key, seq, op, value) of the mutations in a log's segments that recovery applies (see operators.wal.replay)."""
+    return replay(decoded(spark, folder), flushed, policy)
+
+
 def write_wal(records: DataFrame, folder: str, segment: Column | None = None, segment_bytes: int = EngineConfig().wal_segment_bytes) -> None:
     """Append segments with records (rtype, seq, key, value), in the order of seq, each a range of it.
 

@@ -15,7 +15,7 @@ from siltstone.operators import cache, compaction, manifest, metrics, runs, wal
 from siltstone.operators.order import with_position
 from siltstone.sources import table as table_module
 from siltstone.sources.table import Table, Writer
-from siltstone.sources.wal_files import HEADER, decode_frames, encode_frame, read_wal, segment_files, trim_wal, write_wal
+from siltstone.sources.wal_files import HEADER, decode_frames, encode_frame, read_wal, recover, segment_files, trim_wal, write_wal
 from siltstone.streaming.ingest import CompactionScheduler, stream_into
 
 WAL = "segment bigint, pos bigint, rtype string, key string, value string, seq bigint, bad boolean"
@@ -76,6 +76,7 @@ def test_batches_over_segments_of_real_files(spark, tmp_path):
     assert len(segment_files(folder)) > 5
     log = read_wal(spark, folder).withColumn("key", F.col("key").cast("string"))
     assert keys(wal.replay(log)) == ["a", "b", "c", "d", "h", "i"]
+    assert {bytes(r.key) for r in recover(spark, folder).collect()} == set(b"abcdhi"[i : i + 1] for i in range(6))
     assert wal.replay(log).count() == 6 and wal.recovered_sequence(log, 0).first()[0] == 14
     before = segment_files(folder)
     gone = trim_wal(spark, folder, 9)
