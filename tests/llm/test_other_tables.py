@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -224,3 +225,17 @@ def test_scratch_is_cleared(spark):
     clear_scratch(spark)
     with pytest.raises(Exception, match="(?i)not exist|not found"):
         saved.count()
+
+
+def test_scratch_starts_few_processes_and_sees_damage(spark):
+    scratch = Scratch(spark, "t")
+    saved = scratch.save(spark.range(0, 1000, 1, 1), "numbers")
+    folder = Path(saved.scratch_path.removeprefix("file:"))
+    part, *others = folder.iterdir()
+    assert not others and saved.count() == 1000
+    data = bytearray(part.read_bytes())
+    data[len(data) // 4] ^= 1
+    part.write_bytes(data)
+    with pytest.raises(Exception, match="(?i)checksum|corrupt"):
+        saved.agg(F.sum("id")).collect()
+    scratch.clear()
