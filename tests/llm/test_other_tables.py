@@ -64,6 +64,29 @@ def test_awkward_vectors(spark):
     assert ann.nearest(spark.createDataFrame(bad[:3], "vec_id bigint, embedding array<float>"), 50).count() == 0
 
 
+def test_start_of_the_graph_is_near_and_merges_are_exact(spark):
+    rng = np.random.default_rng(6)
+    e = rng.normal(size=(3000, 16))
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    scratch = Scratch(spark, "t")
+    nodes = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(e)], "node bigint, embedding array<double>")
+    rows = ann._sides(scratch.save(ann.pack(nodes), "packed")).repartitionByRange(3, "u", "x").sortWithinPartitions("u", "x")
+    offers = ann._start(rows, 300).select("*", F.lit(1).alias("fresh")).collect()
+    at_first = {(r.v, w) for r in offers for w in r.ws}
+    near = np.argsort(-(e @ e.T), axis=1)[:, 1:6]
+    assert max(len(r.ws) for r in offers) <= ann.START_OFFERS and all(v != w for v, w in at_first)
+    # 300 of 3000 nodes at random in each of the tables would be 0.47 of the pairs
+    assert sum((i, int(w)) in at_first for i, ws in enumerate(near) for w in ws) / near.size > 0.7
+
+    old = [(0, [1, 2, 3], [-0.1, -0.2, -0.3], 0), (7, [1], [-0.5], 0)]
+    new = [(0, [2, 4], [-0.2, -0.15], 1), (0, [4, 5], [-0.15, -0.9], 1), (3, [0], [-0.3], 1)]
+    merged = ann._best(spark.createDataFrame(old + new, f"{ann._EDGE_LISTS}, fresh int"), 3).collect()
+    assert {r.v: (r.ws, r.fresh) for r in merged} == {0: ([1, 4, 2], 1), 3: ([0], 1), 7: ([1], 0)}
+    graph = {r.u: sorted(r.xs) for r in ann.neighbourhoods(spark.createDataFrame(old + new[2:], f"{ann._EDGE_LISTS}, fresh int"), 1, 0).collect()}
+    assert graph[3] == [0] and graph[2] == [0] and graph[7] == [1] and graph[1] in ([0], [7]) and graph[0] == [1, 2, 3]
+    scratch.clear()
+
+
 # -- WARC -----------------------------------------------------------------------------------------
 
 
